@@ -1,7 +1,14 @@
 """Queries of this subpackage and the SQL that checks them."""
 
 from tessera.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tessera.llm.packing import op3_packing
 from tessera.llm.simhash import op10_simhash
+from tessera.llm.token_counts import op9_token_counts
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_simhash": op10_simhash,
+}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
