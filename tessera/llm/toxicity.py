@@ -15,9 +15,10 @@ from tessera.llm.common import bound_batches, raw, slices
 
 #: A-Z in lower case, ASCII punctuation and controls as blanks.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-BITS = 18
+BITS = 20
 WIDTHS = (1, 2, 3)
 FILTERS, DIMENSIONS = 8, 8
+STEM = 5
 CACHE = 500_000
 
 
@@ -27,8 +28,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def two_hashes(word: bytes) -> int:
-    """Two bucket numbers in one integer."""
-    return xxhash.xxh64_intdigest(word, 17) & ((1 << 2 * BITS) - 1)
+    """The buckets of a word and of its stem, the first STEM letters, in one integer."""
+    stem = word.decode("utf-8", "replace")[:STEM].encode()
+    return xxhash.xxh64_intdigest(word, 17) >> 64 - BITS | xxhash.xxh64_intdigest(stem, 18) >> 64 - BITS << BITS
 
 
 class Hasher:
@@ -47,7 +49,7 @@ class Hasher:
 
 
 class TextCnn:
-    """Embeddings (the sum of two hashed rows), filters of several widths, max pooling, a logistic output.
+    """Embeddings (the sum of a row hashed from the word and one hashed from its stem), filters of several widths, max pooling, a logistic output.
 
     Filters pass a linear unit that cuts negatives. Texts are padded with width - 1 zero rows, so that short and
     empty texts have windows too; an empty text gets the score of the bias alone.
@@ -55,7 +57,7 @@ class TextCnn:
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.tables = rng.normal(0, 0.1, (2, 1 << BITS, DIMENSIONS)).astype(np.float32)
+        self.tables = rng.normal(0, 0.02, (2, 1 << BITS, DIMENSIONS)).astype(np.float32)
         self.filters = [rng.normal(0, 0.4, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.offsets = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = rng.normal(0, 0.4, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -103,7 +105,7 @@ class TextCnn:
         top, _ = self.pooled(rows, sizes)
         return top @ self.out + self.bias
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, least: int = 3, seed: int = 5) -> None:
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, least: int = 8, seed: int = 5) -> None:
         """Adagrad on the logistic loss; positive texts weigh as much as negative ones in all.
 
         Buckets of words that stand in fewer than `least` training texts are emptied and stay so.
