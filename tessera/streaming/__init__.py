@@ -1,0 +1 @@
+"""Reserved: the query language covers batch tables only, so there is no streaming operator."""
