@@ -17,7 +17,7 @@ from tessera.llm.common import bound_batches, scratch_path, slices
 
 #: Payloads from this size on are stored once; further copies become revisit records.
 LEAST_REVISIT = 100
-PAGES_PER_SHARD = 4096
+PAGES_PER_SHARD = 1024
 ROLL_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -99,20 +99,26 @@ def write_warc(pages: DataFrame, out_dir: str, date: str = "2000-01-01T00:00:00Z
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    copies = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "lead")
-    found = rows.join(copies, "digest", "left")
-    first = F.when((F.col("size") >= LEAST_REVISIT) & (F.col("page_id") > F.col("lead")), F.col("lead"))
-    found = found.withColumn("first", first).withColumn("payload", F.when(first.isNull(), F.col("payload")))
-    found = found.withColumn("shard", F.coalesce(F.floor(F.col("page_id") / pages_per_shard).cast("long"), F.lit(-1)))
+    rows = rows.withColumn("shard", F.coalesce(F.floor(F.col("page_id") / pages_per_shard).cast("long"), F.lit(-1)))
+    # Payloads are shuffled once, by shard. Which records are revisits is found on digests alone; those
+    # small rows go to the shards as well and sort before the pages that they are about.
+    large = rows.where(F.col("size") >= LEAST_REVISIT)
+    copies = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = large.select("shard", "page_id", "digest").join(copies, "digest").where("page_id > first").distinct()
+    both = rows.select("*", F.lit(1).alias("step"), F.lit(None).cast("long").alias("first")).unionByName(again.withColumn("step", F.lit(0)), allowMissingColumns=True)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    ordered = ordered.select("shard", "page_id", "url", "payload", "size", "digest", "first")
+    ordered = both.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "digest", "step", "url")
+    ordered = ordered.select("shard", "page_id", "url", "payload", "size", "digest", "step", "first")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Shards(out_dir, roll)
+        out, told, first = Shards(out_dir, roll), None, None
         for batch in slices(batches, "payload"):
             for r in batch.to_pylist():
-                data = record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["first"], date)
+                page = (r["page_id"], r["digest"])
+                if r["step"] == 0:
+                    told, first = page, r["first"]
+                    continue
+                data = record(r["page_id"], r["url"], r["payload"], r["size"], r["digest"], first if page == told else None, date)
                 out.write(r["shard"], compressed(data))
         out.close()
         names = ["file", "shard", "part", "records", "bytes", "sha256"]
