@@ -46,7 +46,7 @@ class WordEncoder:
         else:
             ids = []
             for piece in self.pattern.findall(text.lower()):
-                if not piece.isascii():
+                if not (piece.isascii() and piece.isprintable()):
                     piece = piece.encode().decode("latin-1").translate(self.letters)
                 ids += [t.id for t in self.model.tokenize(piece)]
         return np.array(ids, "<u4").tobytes()

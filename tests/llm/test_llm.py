@@ -113,6 +113,13 @@ def test_word_encoder(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in encode.encoder(WORDS).encode([t.encode() for t in texts])] == [x.ids for x in whole]
 
 
+def test_word_encoder_takes_every_low_character():
+    texts = [s for c in map(chr, range(0x250)) for s in (c, f"a{c}b")]
+    whole = encode.encoder(WORDS).tokenizer.encode_batch(texts, add_special_tokens=False)
+    got = encode.encoder(WORDS).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in whole]
+
+
 def check_packing(rows, texts, window):
     tok = Tokenizer.from_file(WORDS)
     want = Counter(tuple([*tok.encode(t or "", add_special_tokens=False).ids, 1]) for _, t in texts)
