@@ -63,22 +63,54 @@ class PieceModel:
         self.types = [r.get(3, NORMAL) for r in rows]
         self.kind, self.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
         self.unknown = self.types.index(UNKNOWN)
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.prefix, self.squeeze, self.escape = bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
         self.charsmap = norm.get(2, b"")
         plain = [p for p, t in zip(self.pieces, self.types, strict=True) if t in (NORMAL, USER)]
         # Where no piece goes on after a mark that follows other letters, or holds a line end, these never merge.
-        self.apart = all(MARK not in p.lstrip(MARK) and "\n" not in p for p in plain)
+        # Without byte fallback, unknown characters in a row make one id, and may lie on both sides.
+        self.apart = self.byte_fallback and all(MARK not in p.lstrip(MARK) and "\n" not in p for p in plain)
         self.steps = []
         if self.charsmap:
             self.steps.append(normalizers.Precompiled(self.charsmap))
         if self.squeeze:
-            self.steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            # Only blanks go, tabs and line ends stay; a mark at the end counts as a blank.
+            self.steps += [normalizers.Replace(Regex(r"\A +|[ ▁]+\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         self.normalizer = normalizers.Sequence(self.steps) if self.steps else None
         self.tokenizer = Tokenizer(self.unigram() if self.kind == UNIGRAM else self.merging())
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
     def unigram(self) -> models.Unigram:
-        return models.Unigram(list(zip(self.pieces, self.scores, strict=True)), self.unknown, self.byte_fallback)
+        """A unigram model. Only normal and user pieces occur in texts; all others get names that no text has.
+
+        Unknown characters cost ten more than the worst piece, so the others take the best score. A user piece
+        gets the best score for each of its bytes. Byte fallback is in ids(), for a text may hold the name of a byte piece.
+        """
+        best = max((s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL), default=0.0)
+        rows = []
+        for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types, strict=True)):
+            if t == NORMAL:
+                rows.append((p, s))
+            elif t == USER:
+                rows.append((p, len(p.encode()) * best - 0.1))
+            else:
+                rows.append((f"\0 {i}", best))
+        return models.Unigram(rows, self.unknown, False)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of normalised texts, encoded as a batch by the library's threads."""
+        if self.kind != UNIGRAM or not self.byte_fallback:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            if self.unknown not in e.ids:
+                out.append(e.ids)
+                continue
+            ids = []
+            for i, (a, z) in zip(e.ids, e.offsets, strict=True):
+                ids += [self.byte_ids[b] for b in text[a:z].encode()] if i == self.unknown else [i]
+            out.append(ids)
+        return out
 
     def merging(self) -> models.BPE:
         """A BPE model: every split of a piece into two pieces is a merge, best scores first."""
@@ -122,8 +154,8 @@ class PieceEncoder:
         new = list(set(chain.from_iterable(parts)).difference(cache))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for word, e in zip(some, self.model.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[word] = np.array(e.ids, "<u4").tobytes()
+            for word, ids in zip(some, self.model.ids(some), strict=True):
+                cache[word] = np.array(ids, "<u4").tobytes()
         return [b"".join(map(cache.__getitem__, x)) for x in parts]
 
     def decode(self, ids: bytes) -> bytes:

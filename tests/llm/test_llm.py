@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -277,6 +278,51 @@ def test_sentencepiece(docs):
     assert pieces.encode_pieces(docs.limit(0), path).count() == 0
 
 
+def varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def blob(field, data):
+    return varint(field << 3 | 2) + varint(len(data)) + data
+
+
+def number(field, n):
+    return varint(field << 3) + varint(n)
+
+
+def hand_made_model(path, fallback, squeeze, prefix):
+    """A unigram model with scores set by hand, as SentencePiece writes it."""
+    words = ["▁", "a", "b", "c", "t", "h", "e", "▁the", "the", "th", "he", "ab", "abc", "bc", "▁ab", "▁a", "cab", "é", "漢", "▁▁", "ac"]
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("user", 0, 4)]
+    rows += [(f"<0x{i:02X}>", 0, 6) for i in range(256 * fallback)]
+    rows += [(w, -1 - 11 * (i * 0.618034 % 1), 1) for i, w in enumerate(words)]
+    rows = b"".join(blob(1, blob(1, w.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, t)) for w, s, t in rows)
+    path.write_bytes(rows + blob(2, number(3, 1) + number(35, fallback)) + blob(3, blob(1, b"identity") + number(3, prefix) + number(4, squeeze) + number(5, 1)))
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [0, 1])
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("prefix", [0, 1])
+def test_sentencepiece_unigram(docs, tmp_path, fallback, squeeze, prefix):
+    path = hand_made_model(tmp_path / "unigram.model", fallback, squeeze, prefix)
+    enc = pieces.PieceEncoder(path)
+    assert enc.model.kind == pieces.UNIGRAM
+    part = st.one_of(st.text(alphabet="aabcthe  é漢🙂xz\n▁\t", max_size=25), st.sampled_from(["<s>", "<unk>", "<0x41>", "user", "  "]))
+
+    @given(st.lists(part, max_size=5).map("".join))
+    @settings(max_examples=150, deadline=None)
+    def same(text):
+        (ids,) = enc.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == enc.peer.encode(text)
+        if fallback:
+            assert enc.decode(ids).decode() == enc.model.normalised(text).replace("▁", " ")[prefix if enc.model.normalised(text) else 0 :]
+
+    same()
+    got = pieces.encode_pieces(docs, path).collect()
+    assert len(got) == len(TEXTS) and all(r["parity"] for r in got) and all(r["round_trip"] for r in got if fallback)
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 200
     rows = [(3, "http://a/ b", big, 1), (1, None, big, 2), (2, "u", None, 3), (4, "u", "", 4), (None, "u", big, 5), (5000, "u\n", "é" * 80, 6), (6, "u", "s" * 99, 7), (7, "u", "s" * 99, 8)]
