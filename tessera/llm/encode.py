@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from itertools import chain
+from collections.abc import Callable
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -20,45 +19,62 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Kept(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Encodes UTF-8 texts with a tokenizer that drops white space, so that ids of a text are those of its chunks in a row.
 
     Chunks are what ASCII white space parts. No match of the pattern, no special token and no composed character
-    reaches over it, hence the parts are independent. Each chunk is encoded by the library once and kept; the
-    cache is emptied at `most` chunks. Plain Latin-1 chunks are split here and passed to the library's BPE model
-    directly; all others go through its whole chain.
+    reaches over it, hence the parts are independent. Each chunk is encoded once and kept; the cache is emptied at
+    `most` chunks. Plain Latin-1 chunks are split here and their pieces passed to the library's BPE model directly,
+    which are kept up to `most_pieces`; all others go through its whole chain.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, most_pieces: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         kinds = [x["pattern"]["Regex"] for x in json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         if kinds != [WORD_PATTERN]:
             raise ValueError("this tokenizer keeps white space or splits in another way")
-        self.model, self.most, self.cache = self.tokenizer.model, most, {}
+        self.model, self.most, self.cache = self.tokenizer.model, most, Kept(self.chunk)
+        self.most_pieces, self.pieces = most_pieces, Kept(self.piece)
         self.letters, self.pattern = byte_letters(), regex.compile(WORD_PATTERN)
         self.odd = regex.compile(r"[^\x00-\xff]|[\x1c-\x1f\x85\xa0]|<\|")
+        size = self.tokenizer.get_vocab_size()
+        self.numbers = [i.to_bytes(4, "little") for i in range(size)]
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one match of the pattern, as little-endian unsigned 32-bit numbers."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.numbers[t.id] for t in self.model.tokenize(piece)])
 
     def chunk(self, chunk: bytes) -> bytes:
         """Ids of one chunk as little-endian unsigned 32-bit numbers."""
         text = chunk.decode("utf-8", "replace")
+        if text.isascii() and text.isalpha():
+            return self.pieces[text.lower()]
         if self.odd.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = []
-            for piece in self.pattern.findall(text.lower()):
-                if not (piece.isascii() and piece.isprintable()):
-                    piece = piece.encode().decode("latin-1").translate(self.letters)
-                ids += [t.id for t in self.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
+            return b"".join([self.numbers[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join([self.pieces[x] for x in self.pattern.findall(text.lower())])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        cache, parts = self.cache, [x.split() for x in texts]
-        if len(cache) > self.most:
-            cache.clear()
-        for word in set(chain.from_iterable(parts)).difference(cache):
-            cache[word] = self.chunk(word)
-        return [b"".join(map(cache.__getitem__, x)) for x in parts]
+        if len(self.cache) > self.most:
+            self.cache.clear()
+        if len(self.pieces) > self.most_pieces:
+            self.pieces.clear()
+        look = self.cache.__getitem__
+        return [b"".join(map(look, x.split())) for x in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
