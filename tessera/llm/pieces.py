@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -134,28 +135,46 @@ class PieceModel:
 
 
 class PieceEncoder:
-    """Encodes and decodes texts; chunks that can't merge with one another are encoded once and kept, up to `most`."""
+    """Encodes and decodes texts; chunks that can't merge with one another are encoded once and kept.
 
-    CHUNK = regex.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+    The cache is emptied at `most` chunks. Where chunks can merge, texts are encoded whole and nothing is kept.
+    """
+
+    CHUNK = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model, self.most, self.cache = PieceModel(path), most, {}
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.values = dict(enumerate(self.model.bytes))
+        self.numbers = [i.to_bytes(4, "little") for i in range(len(self.model.pieces))]
+
+    def chunks(self, form: str) -> list[str]:
+        """A normalised text in chunks: line ends one by one, runs of marks with what follows them."""
+        if not self.model.apart:
+            return [form] if form else []
+        out = []
+        for i, line in enumerate(form.split("\n")):
+            if i:
+                out.append("\n")
+            if MARK + MARK in line or line.endswith(MARK):
+                out += self.CHUNK.findall(line)
+            elif line:
+                words = line.replace(MARK, " " + MARK).split(" ") if self.model.escape else self.CHUNK.findall(line)
+                out += words if words[0] else words[1:]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        forms = [self.model.normalised(x) for x in texts]
-        parts = [self.CHUNK.findall(x) if self.model.apart else [x] if x else [] for x in forms]
-        cache = self.cache
+        parts = [self.chunks(self.model.normalised(x)) for x in texts]
+        cache, numbers = self.cache, self.numbers
         if len(cache) > self.most or not self.model.apart:
             cache.clear()
         new = list(set(chain.from_iterable(parts)).difference(cache))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for word, ids in zip(some, self.model.ids(some), strict=True):
-                cache[word] = np.array(ids, "<u4").tobytes()
+                cache[word] = b"".join([numbers[i] for i in ids])
         return [b"".join(map(cache.__getitem__, x)) for x in parts]
 
     def decode(self, ids: bytes) -> bytes:
@@ -190,7 +209,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             texts = [x.decode("utf-8", "replace") for x in raw(part.column("text"))]
             ids = enc.encode(texts)
             peers = enc.peer.encode(texts, num_threads=1)
-            same = [np.array(p, "<u4").tobytes() == x for p, x in zip(peers, ids, strict=True)]
+            same = [array("I", p).tobytes() == x for p, x in zip(peers, ids, strict=True)]
             forms = [enc.model.normalised(x).replace(MARK, " ")[enc.model.prefix :].encode() for x in texts]
             trip = [enc.decode(x) == y for x, y in zip(ids, forms, strict=True)]
             cols = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same), pa.array(trip)]
