@@ -138,12 +138,14 @@ class PieceEncoder:
     """Encodes and decodes texts; chunks that can't merge with one another are encoded once and kept.
 
     The cache is emptied at `most` chunks. Where chunks can merge, texts are encoded whole and nothing is kept.
+    A batch is encoded by `threads` threads; every core of an executor has such a process, so more would only wait.
     """
 
     CHUNK = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 800_000, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model, self.most, self.cache = PieceModel(path), most, {}
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.values = dict(enumerate(self.model.bytes))
