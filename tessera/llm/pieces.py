@@ -148,7 +148,7 @@ class PieceEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model, self.most, self.cache = PieceModel(path), most, {}
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.values = dict(enumerate(self.model.bytes))
+        self.values = np.array(self.model.bytes, object)
         self.numbers = [i.to_bytes(4, "little") for i in range(len(self.model.pieces))]
 
     def chunks(self, form: str) -> list[str]:
@@ -168,7 +168,11 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = [self.chunks(self.model.normalised(x)) for x in texts]
+        return self.encode_forms([self.model.normalised(x) for x in texts])
+
+    def encode_forms(self, forms: list[str]) -> list[bytes]:
+        """The same for texts that are normalised already."""
+        parts = [self.chunks(x) for x in forms]
         cache, numbers = self.cache, self.numbers
         if len(cache) > self.most or not self.model.apart:
             cache.clear()
@@ -181,7 +185,7 @@ class PieceEncoder:
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids; the blank that encoding puts in front is taken off again."""
-        out = b"".join(map(self.values.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        out = b"".join(self.values[np.frombuffer(ids, "<u4")].tolist())
         return out[1:] if self.model.prefix and out[:1] == b" " else out
 
 
@@ -209,10 +213,11 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         enc = encoder(path)
         for part in slices(batches):
             texts = [x.decode("utf-8", "replace") for x in raw(part.column("text"))]
-            ids = enc.encode(texts)
+            normal = [enc.model.normalised(x) for x in texts]
+            ids = enc.encode_forms(normal)
             peers = enc.peer.encode(texts, num_threads=1)
             same = [array("I", p).tobytes() == x for p, x in zip(peers, ids, strict=True)]
-            forms = [enc.model.normalised(x).replace(MARK, " ")[enc.model.prefix :].encode() for x in texts]
+            forms = [x.replace(MARK, " ")[enc.model.prefix :].encode() for x in normal]
             trip = [enc.decode(x) == y for x, y in zip(ids, forms, strict=True)]
             cols = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same), pa.array(trip)]
             names = ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"]
