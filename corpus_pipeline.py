@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tessera.llm import secrets
 from tessera.llm.common import stage
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.near import near_components
 from tessera.llm.packing import pack
-from tessera.llm.simhash import simhash_components
 from tessera.llm.toxicity import toxicity, train
 
 
@@ -31,8 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, keep the document with the smallest doc_id."""
-    return without(docs, simhash_components(docs).where("doc_id <> component_id"))
+    """Of each component of texts with five-word Jaccard similarity 0.8 or more, keep the document with the smallest doc_id."""
+    return without(docs, near_components(docs).where("doc_id <> component_id"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,3 +377,36 @@ def test_pipeline_stages(spark):
     clean = by_id(corpus_pipeline.redact_secrets(spark, kept, ""))
     assert clean[5]["text"] == "[SECRET] rest" and clean[5]["n_chars"] == 13 and clean[6]["text"] in (None, "")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "secrets", "packing"]
+
+
+def shingle_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(40):
+        words = [f"w{i}x{x}" for x in rng.integers(0, 10**6, 120)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 4, 6):
+            near = list(words)
+            for at in rng.choice(120, changes, replace=False):
+                near[at] = f"new{i}y{changes}z{at}"
+            texts.append(" ".join(near))
+    texts += ["", " \n", "two words", "Two  Words"]
+    group = [f"g{x}" for x in rng.integers(0, 10**6, 100)]  # members of one group, each near to many others
+    texts += [" ".join(f"other{i}" if at == i else w for at, w in enumerate(group)) for i in range(60)]
+    sets = [shingle_words(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert left == set(root) and len(left) < len(texts) - 60
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
