@@ -39,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Replace secrets in texts by a mark and count characters anew; no document is dropped."""
     ratios = secrets.train(*secrets.labelled_samples())
     text = F.col("text")
-    clean = secrets.let(secrets.scan_spans(F.coalesce(text, F.lit("")), ratios, secrets.THRESHOLD), lambda found: secrets.redacted(text, found))
+    clean = secrets.let(secrets.scan_spans(F.coalesce(text, F.lit("")), ratios, secrets.THRESHOLD, embedded=True), lambda found: secrets.redacted(text, found))
     kind = dict(docs.dtypes)["n_chars"]
     return docs.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast(kind)).select(docs.columns)
 

@@ -15,6 +15,8 @@ ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][E
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that are searched for embedded secrets.
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
 KINDS = ["assign", "access", "hex", "random"]
 LEAST_ASSIGNED = 12
 #: Smallest log-likelihood ratio, in thousandths, of a string that is held for random.
@@ -88,6 +90,51 @@ def score(word: Column, table: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0), step)
 
 
+def best_stretch(word: Column, table: Column) -> Column:
+    """Largest log-likelihood ratio of any stretch of a string, in thousandths."""
+    code = lambda i: F.ascii(F.substring(word, i, 1))
+    ratio = lambda i: F.element_at(table, code(i) * 128 + code(i + 1) + 1)
+    step = lambda acc, i: F.struct((F.greatest(acc["sum"], F.lit(0)) + ratio(i)).alias("sum"), F.greatest(acc["best"], acc["sum"]).alias("best"))
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), zero, step, lambda acc: F.greatest(acc["best"], acc["sum"]))
+
+
+def stretches(word: Column, table: Column, threshold: int) -> Column:
+    """Start and end of all stretches of a string whose ratio reaches the threshold, widened to the next = or / or the string's ends.
+
+    A first or last part up to = or / that is itself no likelier random than ordinary is left out again. A stretch ends where its ratio is highest before it falls by as much as the threshold, or to nothing.
+    """
+    code = lambda i: F.ascii(F.substring(word, i, 1))
+    kind = "array<struct<start:int,end:int>>"
+    state = lambda total, start, best, end, out: F.struct(total.alias("sum"), start.alias("start"), best.alias("best"), end.alias("end"), out.alias("out"))
+    closed = lambda acc: F.when(acc["best"] >= threshold, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, i: Column) -> Column:
+        def with_total(total: Column) -> Column:
+            over = (total <= 0) | ((acc["best"] >= threshold) & (acc["best"] - total >= threshold))
+            more = total > acc["best"]
+            on = state(total, acc["start"], F.greatest(acc["best"], total), F.when(more, i + 1).otherwise(acc["end"]), acc["out"])
+            return F.when(over, state(F.lit(0), i, F.lit(0), F.lit(0), closed(acc))).otherwise(on)
+
+        return let(acc["sum"] + F.element_at(table, code(i) * 128 + code(i + 1) + 1), with_total)
+
+    zero = state(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.array().cast(kind))
+    found = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), zero, step, closed)
+    before = lambda s: F.length(F.regexp_extract(F.substring(word, F.lit(1), s["start"]), "[^=/]*$", 0))
+    behind = lambda s: F.length(F.regexp_extract(F.substring(word, s["end"] + 1, F.length(word)), "^[^=/]*", 0))
+    pays = lambda w: F.when(F.length(w) < 2, F.lit(0)).otherwise(score(w, table))
+
+    def trimmed(s: Column) -> Column:
+        piece = F.substring(word, s["start"] + 1, s["end"] - s["start"])
+        head, tail = F.regexp_extract(piece, "^[^=/]*[=/]+", 0), F.regexp_extract(piece, "[=/]+[^=/]*$", 0)
+        start = s["start"] + F.when(pays(head) <= 0, F.length(head)).otherwise(0)
+        end = s["end"] - F.when(pays(tail) < 0, F.length(tail)).otherwise(0)
+        return F.when(start < end, F.struct(start.alias("start"), end.alias("end"))).otherwise(s)
+
+    wide = F.transform(found, lambda s: F.struct((s["start"] - before(s)).alias("start"), (s["end"] + behind(s)).alias("end")))
+    return F.transform(wide, trimmed)
+
+
 BLOCK = 256
 SPAN = "array<struct<start:int,rank:int,end:int,word:string>>"
 
@@ -135,8 +182,12 @@ def find(text: Column, pattern: str, rank: int, wanted: Callable[[Column], Colum
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches)
 
 
-def scan_spans(text: Column, ratios: Sequence[int], threshold: int) -> Column:
-    """Base spans and those that the models add, ordered by start, then kind."""
+def scan_spans(text: Column, ratios: Sequence[int], threshold: int, embedded: bool = False) -> Column:
+    """Base spans and those that the models add, ordered by start, then kind.
+
+    The models score whole runs of 20 characters; with embedded, all stretches of runs of 12, so that names and
+    paths glued to a secret don't count against it, and what lies outside the base spans is added.
+    """
     none = F.array().cast(SPAN)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
     # Each test of a literal is a part of the pattern behind it; where it fails, so does the pattern.
@@ -144,22 +195,30 @@ def scan_spans(text: Column, ratios: Sequence[int], threshold: int) -> Column:
     assign = F.filter(assign, lambda s: F.length(F.regexp_extract(s["word"], ASSIGN, 1)) >= LEAST_ASSIGNED)
     access = F.when(text.contains("AKIA"), find(text, ACCESS, 1)).otherwise(none)
     base = F.array_sort(F.concat(assign, access, find(text, HEX, 2)))
+    if embedded:
+        runs = find(text, RUN, 3, lambda w: best_stretch(w, table) >= threshold)
+        cut = lambda s, x: F.struct((s["start"] + x["start"]).alias("start"), s["rank"].alias("rank"), (s["start"] + x["end"]).alias("end"), F.substring(s["word"], x["start"] + 1, x["end"] - x["start"]).alias("word"))
+        parts = lambda s: F.when(best_stretch(s["word"], table) >= threshold, F.transform(stretches(s["word"], table, threshold), lambda x: cut(s, x))).otherwise(none)
+        new = lambda s, known: ~F.exists(known, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+        added = lambda known: F.filter(F.array_distinct(F.flatten(F.transform(runs, parts))), lambda s: new(s, known))
+        return let(base, lambda known: F.array_sort(F.concat(known, added(known))))
     random_like = lambda w: score(w, table) >= threshold
     more = find(text, CANDIDATE, 3, random_like)
     apart = lambda s, known: random_like(s["word"]) & ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     return let(base, lambda known: F.array_sort(F.concat(known, let(more, lambda m: F.filter(m, lambda s: apart(s, known))))))
 
 
-def scan(docs: DataFrame, ratios: Sequence[int] | None = None, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ratios: Sequence[int] | None = None, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", embedded: bool = False) -> DataFrame:
     """doc_id, text and found, the spans of secrets: start and end in code points, rank in KINDS, word.
 
     ratios come from train(), by default on labelled_samples(). A candidate is a run of 20 or more letters,
-    digits and +/_=-; it is added where its ratio reaches the threshold and no base span overlaps it.
+    digits and +/_=-; it is added where its ratio reaches the threshold and no base span overlaps it. With embedded, candidates are stretches inside runs of 12 or more
+    (see scan_spans).
     Null text counts as empty. Ids may be null or repeat. Other columns are not read. Empty tables give no rows.
     """
     ratios = train(*labelled_samples()) if ratios is None else ratios
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", scan_spans(F.col("text"), ratios, threshold).alias("found"))
+    return rows.select("doc_id", "text", scan_spans(F.col("text"), ratios, threshold, embedded).alias("found"))
 
 
 def listed(spans: Column) -> Column:

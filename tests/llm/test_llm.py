@@ -410,3 +410,21 @@ def test_near_copies_by_jaccard(spark):
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert left == set(root) and len(left) < len(texts) - 60
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_embedded_secrets_are_redacted(spark):
+    rng, letters = np.random.default_rng(5), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    made = lambda n: "".join(rng.choice(letters, n))
+    paths = ["client_credential=", "aws/prod/database/credentials/", "https/internal-service/application/config/authorization/database/credential/"]
+    cases = [(path, made(n)) for path in paths for n in (12, 16, 20, 24) for _ in range(50)]
+    texts = [f"é see {path}{x} there" for path, x in cases]
+    pairs = [f"user={made(24)}/application/configuration/administration/international/{made(24)}" for _ in range(50)]
+    plain = [f"see {x} there" for x in secrets.labelled_samples(200, seed=3)[1]]
+    rows = list(enumerate(texts + pairs + plain))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id int, text string, n_chars int")
+    clean = by_id(corpus_pipeline.redact_secrets(spark, docs, ""))
+    whole = [clean[i]["text"] == f"é see {path}[SECRET] there" for i, (path, _) in enumerate(cases)]
+    assert np.mean(whole) > 0.9
+    twice = [clean[len(texts) + i]["text"] == "user=[SECRET]/application/configuration/administration/international/[SECRET]" for i in range(50)]
+    assert np.mean(twice) > 0.9
+    assert [clean[len(texts) + 50 + i]["text"] for i in range(200)] == plain
