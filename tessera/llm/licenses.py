@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,28 +72,49 @@ def canonical(text: Column) -> Column:
     return c
 
 
-def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Lines in front of a licence: blank, a short title that names a licence, any copyright line. For lower-case text.
+HEAD_LINES = r"\A(?:[^\S\n]*\n|[^\n]{0,60}\blicen[cs]e\b[^\n]{0,30}\n|[^a-z0-9\n]*copyright\b[^\n]*\n|[^\S\n]*all rights reserved[^\n]*\n)+"
+
+
+def full_texts() -> dict[str, str]:
+    """KNOWN and the texts of license_texts by their names."""
+    return KNOWN | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def headless(text: Column) -> Column:
+    """Canonical form of what follows the title and copyright lines at the start."""
+    return canonical(F.regexp_replace(ascii_lower(F.replace(text, F.lit("\r"), F.lit(""))), HEAD_LINES, ""))
+
+
+def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", heads: bool = True) -> DataFrame:
     """One row per input row: doc_id, digest (SHA-256 of the canonical text), license_id (null if none), is_license.
 
-    The whole text must be a known licence, up to canonical form. Of known texts with one digest the
-    smallest name counts. Null text counts as empty, and empty canonical text is never a licence. Ids may be
+    The whole text must be a known licence, up to canonical form; known are full_texts() by default. With heads,
+    a text that is none is looked up once more without titles and copyright lines of any form at its start.
+    Of known texts with one digest the smallest name counts. Null text counts as empty, and empty canonical text is never a licence. Ids may be
     null or repeat. Other columns aren't read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    known = KNOWN if known is None else known
-    names = spark.createDataFrame(sorted(known.items()) or [], "license_id string, text string")
-    names = names.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id", canonical(F.col("text")).alias("c")).where("c <> ''")
-    names = names.groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    if len(known) <= BROADCAST_TEXTS:
-        names = F.broadcast(names)
+    known = full_texts() if known is None else known
+    table = spark.createDataFrame(sorted(known.items()) or [], "license_id string, text string")
+
+    def names(form: Column, digest: str, name: str) -> DataFrame:
+        rows = table.select(F.sha2(form, 256).alias(digest), "license_id", form.alias("c")).where("c <> ''")
+        rows = rows.groupBy(digest).agg(F.min("license_id").alias(name))
+        return F.broadcast(rows) if len(known) <= BROADCAST_TEXTS else rows
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"))
-    return rows.join(names, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), *([F.sha2(headless(text), 256).alias("rest")] if heads else []))
+    rows = rows.join(names(canonical(F.col("text")), "digest", "license_id"), "digest", "left")
+    if heads:
+        rows = rows.join(names(headless(F.col("text")), "rest", "rest_id"), "rest", "left")
+        rows = rows.withColumn("license_id", F.coalesce("license_id", "rest_id"))
+    return rows.select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
-    """Known licences among all documents."""
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Licences of KNOWN among all documents, as OP1_SQL has them."""
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), KNOWN, heads=False)
 
 
 def _sql() -> str:

@@ -428,3 +428,14 @@ def test_embedded_secrets_are_redacted(spark):
     twice = [clean[len(texts) + i]["text"] == "user=[SECRET]/application/configuration/administration/international/[SECRET]" for i in range(50)]
     assert np.mean(twice) > 0.9
     assert [clean[len(texts) + 50 + i]["text"] for i in range(200)] == plain
+
+
+def test_full_licences_with_and_without_heads(spark):
+    full = licenses.full_texts()
+    bsd, isc, zlib_text = full["BSD-3-Clause"], full["ISC"], full["Zlib"]
+    cases = [(full[x].upper().replace("\n", "\r\n"), x) for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+    cases += [("BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), ("ISC License\n\nCopyright The Authors\n\n" + isc, "ISC"), ("zlib License\n\n" + zlib_text, "Zlib")]
+    cases += [("Copyright The Authors\n\n" + full["MIT"], "MIT"), ("MIT License\n", None), ("Copyright The Authors\n", None), (full["GPL-3.0"] + " more", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    got = by_id(licenses.license_scan(df))
+    assert [got[i]["license_id"] for i in range(len(cases))] == [name for _, name in cases]
