@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns v, root for every vertex of an edge, where root is one vertex of v's component.
 
     Each round hooks every vertex to its smallest neighbour (a minimum, combined map-side), follows the
-    pointers to their ends by doubling, and contracts the edges, so at least half of the vertices vanish.
+    pointers to their ends by doubling, and contracts the edges. Vertices that stay are below all their neighbours, so
+    no two of them are joined: of a path at most half stay, of a star all but the hub at worst, and then one in the next round.
     Rounds and doublings are written to scratch tables; nothing is collected but counts.
     Null ends and self loops are ignored; repeated edges change nothing. No edges: an empty table.
     """
