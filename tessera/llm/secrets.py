@@ -182,6 +182,54 @@ def find(text: Column, pattern: str, rank: int, wanted: Callable[[Column], Colum
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches)
 
 
+def greatest_before(values: Column) -> Column:
+    """For each place of a non-negative int array, the greatest value before it; -1 at the first.
+
+    Taken by blocks of BLOCK places, like the sums in find().
+    """
+
+    def with_values(values: Column) -> Column:
+        def with_tops(tops: Column) -> Column:
+            def with_befores(befores: Column) -> Column:
+                def one(_: Column, i: Column) -> Column:
+                    block = F.floor(i / BLOCK).cast("int")
+                    return F.greatest(F.lit(-1), befores[block], F.array_max(F.slice(values, block * BLOCK + 1, i - block * BLOCK)))
+
+                return F.transform(values, one)
+
+            return let(F.transform(tops, lambda _, b: F.array_max(F.slice(tops, F.lit(1), b))), with_befores)
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+        tops = let(F.transform(blocks, lambda b: F.array_max(F.slice(values, b * BLOCK + 1, BLOCK))), with_tops)
+        return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(tops)
+
+    return let(values, with_values)
+
+
+def merged(base: Column, more: Column, inside: bool) -> Column:
+    """base and those spans of more that no base span overlaps, or with inside: that no base span contains; by start, then kind.
+
+    Every span is compared with the furthest end of the base spans sorted before it and, as spans of more don't overlap
+    each other, with its next neighbour: one pass however many spans there are.
+    """
+
+    def with_all(spans: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            def stays(s: Column, i: Column) -> Column:
+                if inside:  # spans of one run may be equal
+                    return (s["rank"] < 3) | ((ends[i] < s["end"]) & ~s.eqNullSafe(F.get(spans, i - 1)))
+                following = F.get(spans, i + 1)
+                meets = F.coalesce((following["rank"] < 3) & (following["start"] < s["end"]), F.lit(False))
+                return (s["rank"] < 3) | ((ends[i] <= s["start"]) & ~meets)
+
+            return F.filter(spans, stays)
+
+        return let(greatest_before(F.transform(spans, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(0))), with_ends)
+
+    some = lambda known: F.when(F.size(more) == 0, known).otherwise(let(F.array_sort(F.concat(known, more)), with_all))
+    return let(F.array_sort(base), some)
+
+
 def scan_spans(text: Column, ratios: Sequence[int], threshold: int, embedded: bool = False) -> Column:
     """Base spans and those that the models add, ordered by start, then kind.
 
@@ -194,18 +242,15 @@ def scan_spans(text: Column, ratios: Sequence[int], threshold: int, embedded: bo
     assign = F.when(text.contains("=") | text.contains(":"), find(text, ASSIGN, 0)).otherwise(none)
     assign = F.filter(assign, lambda s: F.length(F.regexp_extract(s["word"], ASSIGN, 1)) >= LEAST_ASSIGNED)
     access = F.when(text.contains("AKIA"), find(text, ACCESS, 1)).otherwise(none)
-    base = F.array_sort(F.concat(assign, access, find(text, HEX, 2)))
+    base = F.concat(assign, access, find(text, HEX, 2))
     if embedded:
         runs = find(text, RUN, 3, lambda w: best_stretch(w, table) >= threshold)
         cut = lambda s, x: F.struct((s["start"] + x["start"]).alias("start"), s["rank"].alias("rank"), (s["start"] + x["end"]).alias("end"), F.substring(s["word"], x["start"] + 1, x["end"] - x["start"]).alias("word"))
         parts = lambda s: F.when(best_stretch(s["word"], table) >= threshold, F.transform(stretches(s["word"], table, threshold), lambda x: cut(s, x))).otherwise(none)
-        new = lambda s, known: ~F.exists(known, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-        added = lambda known: F.filter(F.array_distinct(F.flatten(F.transform(runs, parts))), lambda s: new(s, known))
-        return let(base, lambda known: F.array_sort(F.concat(known, added(known))))
+        return let(F.flatten(F.transform(runs, parts)), lambda more: merged(base, more, inside=True))
     random_like = lambda w: score(w, table) >= threshold
-    more = find(text, CANDIDATE, 3, random_like)
-    apart = lambda s, known: random_like(s["word"]) & ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return let(base, lambda known: F.array_sort(F.concat(known, let(more, lambda m: F.filter(m, lambda s: apart(s, known))))))
+    found = find(text, CANDIDATE, 3, random_like)
+    return let(F.filter(found, lambda s: random_like(s["word"])), lambda more: merged(base, more, inside=False))
 
 
 def scan(docs: DataFrame, ratios: Sequence[int] | None = None, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", embedded: bool = False) -> DataFrame:
@@ -227,16 +272,38 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])))
 
 
+#: Code points of the pieces that redacted() cuts a text into.
+PIECE = 4096
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that spans cover replaced by a mark; touching and overlapping spans make one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with every stretch that spans cover replaced by a mark; touching and overlapping spans make one. spans are sorted by start.
+
+    The text is cut into pieces of PIECE code points first, so that a place far inside is found without
+    counting from the text's start; the cost grows with the text and the spans, not with their product.
+    """
+
+    def between(pieces: Column, a: Column, z: Column) -> Column:
+        """Code points a to z of the text."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((z - 1) / PIECE).cast("int")
+        part = lambda j: F.substring(pieces[j], F.greatest(a - j * PIECE, F.lit(0)) + 1, F.least(z - j * PIECE, F.lit(PIECE)) - F.greatest(a - j * PIECE, F.lit(0)))
+        return F.when(a >= z, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, last), part), ""))
+
+    def with_pieces(spans: Column, pieces: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            # A stretch begins with each span that all before it end short of; the end before it is that of the last stretch.
+            opens = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), ends[i].alias("end"))), lambda s: s["start"] > s["end"])
+
+            def joined(heads: Column) -> Column:
+                kept = F.transform(heads, lambda s: F.concat(between(pieces, F.greatest(s["end"], F.lit(0)), s["start"]), F.lit(mark)))
+                return F.concat(F.array_join(kept, ""), between(pieces, F.array_max(spans["end"]), F.char_length(text)))
+
+            return let(opens, joined)
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] > acc["at"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).when((s["start"] == acc["at"]) & (s["start"] > 0), F.array().cast("array<string>")).when(acc["at"] == 0, F.array(F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], piece).alias("parts"))
+        return let(greatest_before(spans["end"]), with_ends)
 
-    end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, end))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(let(cut, lambda pieces: with_pieces(s, pieces))))
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
