@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands for candidates, an exact check, components."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash links and MinHash bands for candidates, an exact check, components."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, raw, slices, stage
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import FOLD, SEED
+from tessera.llm.simhash import SEED, links, majority, shingle_hashes
 
 #: A pair of similarity 0.8 shares none of 32 bands of 6 minima with a probability of (1 - 0.8 ** 6) ** 32 = 0.00006.
 BANDS, ROWS = 32, 6
@@ -23,15 +23,8 @@ ROUNDS = 3
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text, A-Z lower-cased; shorter texts are one shingle."""
-    words = text.translate(FOLD).split()
-    n, joined, h = len(words), b" ".join(words), xxhash.xxh64_intdigest
-    if n <= shingle:
-        return np.array([h(joined, SEED)] if n else [], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
-    hashes = (h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True))
-    return np.unique(np.fromiter(hashes, np.uint64, n - shingle + 1))
+    """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text (see shingle_hashes())."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -50,22 +43,18 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, v (the name of the text's set of shingles), n (its size) and bands of every row."""
+    """doc_id, text_key, v (the name of the text's set of shingles), n (its size), fp (its SimHash) and bands of every row."""
     bound_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            v, n, bands = [], [], []
-            for text in raw(part.column("text")):
-                hashes = shingle_set(text, shingle)
-                v.append(set_id(hashes))
-                n.append(len(hashes))
-                bands.append(band_keys(hashes))
-            columns = [part.column("doc_id"), part.column("text_key"), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "v", "n", "bands"])
+            sets = [shingle_set(text, shingle) for text in raw(part.column("text"))]
+            fps = pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))
+            marks = [pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), fps, pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *marks], ["doc_id", "text_key", "v", "n", "fp", "bands"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(work, f"doc_id {kind}, text_key bigint, v bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_key bigint, v bigint, n bigint, fp bigint, bands array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -89,31 +78,57 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs a < b of sets whose SimHashes differ in 3 bits at most, as operator 10 finds them; of sets with one SimHash one stands for all."""
+    alike = classes.groupBy("fp").agg(F.min("v").alias("lead"))
+    own = classes.join(alike, "fp").select(F.col("lead").alias("x"), F.col("v").alias("y"))
+    lead = lambda end: alike.select(F.col("fp").alias(end), F.col("lead").alias(f"lead_{end}"))
+    linked = links(alike.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
+    return own.unionByName(linked).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def with_own(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (v and its component c among others) with own: how many shingles of v stand in no other component.
+
+    Shingles that a and b don't share number own(a) + own(b) at least if their components differ.
+    """
+    placed = members.select("v", "c").distinct().join(sets, "v").select("v", "c", F.explode("hashes").alias("h"))
+    alone = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least = most").select("h")
+    own = stage(placed.join(alone, "h").groupBy("v").agg(F.count(F.lit(1)).alias("own")), "own")
+    return members.join(own, "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), component_id (smallest doc_id of its component), one row per input row.
+    """doc_id, text_key (xxhash64 of the text), component_id (smallest doc_id of its component), kept, one row per input row.
 
     Two texts are near when their sets of word shingles have a Jaccard similarity of 0.8 or more; components
-    are those of all near pairs. Candidates share a band of minima and are checked exactly. Texts with equal sets
-    are one vertex. In a bucket of many, members are first compared with one of them, another in each round,
-    and only pairs that are not yet in one component are compared in the end, so a large group makes no square.
+    are those of all near pairs. Candidates have SimHashes within 3 bits or share a band of minima, and are checked
+    exactly. Texts with equal sets are one vertex. In a bucket of many, members are first compared with one of them,
+    another in each round, and only pairs that are not yet in one component are compared in the end, save those
+    that have too many shingles which no other component has. So a large group makes no square.
+    kept: exactly one row of each component, that with component_id; of rows that repeat this id the one with the
+    smallest text_key, and of those that repeat the text as well any one.
     Null text counts as empty; texts without a word are one vertex. Null ids stay null and don't count as
     smallest, unless a component has no other. Other columns are not read. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    marks = stage(marked(rows, shingle), "marks")
-    firsts = [F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands")]
-    classes = stage(marks.groupBy("v").agg(*firsts), "classes")
+    # Numbers of rows are given once, in a written table, so that lost tasks can't change them.
+    marks = stage(marked(rows, shingle).withColumn("row", F.monotonically_increasing_id()), "marks")
+    classes = stage(marks.groupBy("v").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    close = stage(simhash_pairs(classes.where("n > 0").select("v", "fp")), "close")
     keyed = classes.select("v", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key")
     members = stage(keyed.join(shared, "key"), "members")
-    wanted = classes.join(members.select("v").distinct(), "v", "left_semi").select("text_key")
+    asked = members.select("v").unionByName(close.select(F.col("a").alias("v"))).unionByName(close.select(F.col("b").alias("v"))).distinct()
+    wanted = classes.join(asked, "v", "left_semi").select("text_key")
     texts = rows.join(wanted.distinct(), "text_key", "left_semi").select("text_key", "text").distinct()
     sets = stage(shingle_sets(texts, shingle).dropDuplicates(["v"]), "sets")
 
-    roots, tried, near = None, None, None
+    tried, near = close, stage(similar(close, sets), "near")
+    roots = connected_components(near)
     for turn in range(ROUNDS + 1):
-        placed = members.withColumn("c", F.col("v")) if roots is None else members.join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
+        placed = members.join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
         pick = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("by"), "v", "n", "c")).alias("other")
         buckets = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size"), pick)
         unsettled = stage(placed.join(buckets.where("least <> most").select("key", "size", "other"), "key"), "unsettled")
@@ -122,27 +137,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = turn == ROUNDS or square <= 32 * count
         if last:
-            one = unsettled.select("key", "v", "n", "c")
-            pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in "vnc")), "key").where("v < other_v and c <> other_c")
+            one = with_own(unsettled.select("key", "v", "n", "c"), sets)
+            pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own"))), "key").where("v < other_v and c <> other_c")
+            pairs = pairs.where("9 * (own + other_own) <= n + other_n")  # else the similarity is below 0.8
         else:
             pairs = unsettled.select("v", "n", "c", *(F.col(f"other.{x}").alias(f"other_{x}") for x in "vnc")).where("c <> other_c")
         pairs = pairs.where("5 * least(n, other_n) >= 4 * greatest(n, other_n)")
         pairs = pairs.select(F.least("v", "other_v").alias("a"), F.greatest("v", "other_v").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stage(similar(pairs, sets), "near")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        near = found if near is None else near.unionByName(found)
+        tried, near = tried.unionByName(pairs), near.unionByName(found)
         roots = connected_components(near)
         if last:
             break
 
-    if roots is None:
-        named = classes.select("v", F.col("first_id").alias("component_id"))
-    else:
-        linked = classes.select("v", "first_id").join(roots, "v")
-        smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = classes.select("v", "first_id").join(linked.join(smallest, "root").select("v", "component_id"), "v", "left")
-        named = stage(named.select("v", F.coalesce("component_id", "first_id").alias("component_id")), "named")
-    return marks.select("doc_id", "text_key", "v").join(named, "v").select("doc_id", "text_key", "component_id")
+    named = stage(classes.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "named")
+    placed = marks.select("doc_id", "text_key", "row", "v").join(named, "v").select("doc_id", "text_key", "row", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row")).alias("first")
+    firsts = placed.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    return placed.join(firsts, "root").select("doc_id", "text_key", "component_id", (F.col("row") == F.col("first_row")).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import chain
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import bound_batches, raw, slices
 
@@ -19,7 +21,7 @@ BITS = 20
 WIDTHS = (1, 2, 3)
 FILTERS, DIMENSIONS = 8, 8
 STEM = 5
-CACHE = 500_000
+CACHE = 200_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -33,6 +35,11 @@ def two_hashes(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 17) >> 64 - BITS | xxhash.xxh64_intdigest(stem, 18) >> 64 - BITS << BITS
 
 
+def halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words and of stems."""
+    return codes & ((1 << BITS) - 1), codes >> BITS
+
+
 class Hasher:
     """Words to bucket pairs, kept in a cache that is emptied when full."""
 
@@ -51,20 +58,41 @@ class Hasher:
 class TextCnn:
     """Embeddings (the sum of a row hashed from the word and one hashed from its stem), filters of several widths, max pooling, a logistic output.
 
-    Filters pass a linear unit that cuts negatives. Texts are padded with width - 1 zero rows, so that short and
-    empty texts have windows too; an empty text gets the score of the bias alone.
+    Rows are kept for known buckets only; all others share row 0, which is zero. Filters pass a linear unit that
+    cuts negatives. Texts are padded with width - 1 zero rows, so that short and empty texts have windows too;
+    an empty text gets the score of the bias alone.
     """
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, known: list[np.ndarray], seed: int = 5):
+        """known: the sorted buckets of words and those of stems that have rows."""
         rng = np.random.default_rng(seed)
-        self.tables = rng.normal(0, 0.02, (2, 1 << BITS, DIMENSIONS)).astype(np.float32)
-        self.filters = [rng.normal(0, 0.4, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
+        self.known = [np.asarray(k, np.int32) for k in known]
+        self.tables = [0.02 * rng.standard_normal((len(k) + 1, DIMENSIONS), np.float32) for k in self.known]
+        for t in self.tables:
+            t[0] = 0
+        self.filters = [0.4 * rng.standard_normal((w, DIMENSIONS, FILTERS), np.float32) for w in WIDTHS]
         self.offsets = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-        self.out = rng.normal(0, 0.4, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.out = 0.4 * rng.standard_normal(len(WIDTHS) * FILTERS, np.float32)
         self.bias = np.float32(-1)
+        self.index()
+
+    @classmethod
+    def over(cls, texts: list[np.ndarray], least: int, seed: int = 5) -> TextCnn:
+        """A model with rows for the buckets that occur in `least` of the texts or more."""
+        seen = [np.zeros(1 << BITS, np.int32) for _ in range(2)]
+        for t in texts:
+            for k, part in enumerate(halves(np.unique(t))):
+                seen[k][np.unique(part)] += 1
+        return cls([np.flatnonzero(x >= least) for x in seen], seed)
+
+    def index(self) -> None:
+        """Row numbers by bucket, 4 MB for words and 4 MB for stems."""
+        self.row = np.zeros((2, 1 << BITS), np.int32)
+        for row, k in zip(self.row, self.known, strict=True):
+            row[k] = np.arange(1, len(k) + 1)
 
     def embed(self, codes: np.ndarray) -> np.ndarray:
-        return self.tables[0][codes & ((1 << BITS) - 1)] + self.tables[1][codes >> BITS]
+        return sum(t[row[part]] for t, row, part in zip(self.tables, self.row, halves(codes), strict=True))
 
     def pooled(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest filter values of each text and where they stand; rows: embeddings of all texts, each padded."""
@@ -105,23 +133,12 @@ class TextCnn:
         top, _ = self.pooled(rows, sizes)
         return top @ self.out + self.bias
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, least: int = 8, seed: int = 5) -> None:
-        """Adagrad on the logistic loss; positive texts weigh as much as negative ones in all.
-
-        Buckets of words that stand in fewer than `least` training texts are emptied and stay so.
-        """
-        seen = [np.zeros(1 << BITS, np.int32) for _ in range(2)]
-        for t in texts:
-            u = np.unique(t)
-            for k, part in enumerate((u & ((1 << BITS) - 1), u >> BITS)):
-                seen[k][np.unique(part)] += 1
-        known = [s >= least for s in seen]
-        for k in range(2):
-            self.tables[k][~known[k]] = 0
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> None:
+        """Adagrad on the logistic loss; positive texts weigh as much as negative ones in all."""
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         params = [*self.filters, *self.offsets, self.out]
         memory = [np.full(p.shape, 0.1, np.float32) for p in params]
-        bias_memory, table_memory = 0.1, np.full(self.tables.shape, 0.1, np.float32)
+        bias_memory, table_memory = 0.1, [np.full(t.shape, 0.1, np.float32) for t in self.tables]
         rng, self.training = np.random.default_rng(seed), True
         for _ in range(epochs):
             order = rng.permutation(len(texts))
@@ -129,51 +146,55 @@ class TextCnn:
                 ids = order[at : at + batch]
                 sizes = np.array([len(texts[i]) for i in ids])
                 codes = np.concatenate([texts[i] for i in ids]) if sizes.sum() else np.zeros(0, np.int64)
-                rows, place = self.padded(codes, sizes)
-                top, where = self.pooled(rows, sizes)
-                p = 1 / (1 + np.exp(-(top @ self.out + self.bias)))
-                error = ((p - labels[ids]) * weight[ids] / len(ids)).astype(np.float32)
-                grads = [np.zeros_like(x) for x in params]
-                grads[-1] = top.T @ error + decay * self.out
-                back = (error[:, None] * self.out[None]) * (top > 0)
-                row_grad = np.zeros_like(rows)
-                for j, w in enumerate(WIDTHS):
-                    part = slice(j * FILTERS, (j + 1) * FILTERS)
-                    i, f = np.nonzero(back[:, part])
-                    g, start = back[i, j * FILTERS + f], where[i, j * FILTERS + f]
-                    np.add.at(grads[len(WIDTHS) + j], f, g)
-                    for k in range(w):
-                        np.add.at(grads[j][k].T, f, g[:, None] * rows[start + k])
-                        np.add.at(row_grad, start + k, g[:, None] * self.filters[j][k].T[f])
-                    grads[j] += decay * self.filters[j]
+                grads, bias_grad, table_grads = self.gradients(codes, sizes, labels[ids], weight[ids] / len(ids), decay)
                 for x, m, g in zip(params, memory, grads, strict=True):
                     m += g * g
                     x -= rate * g / np.sqrt(m)
-                bias_memory += float(error.sum()) ** 2
-                self.bias -= np.float32(rate * error.sum() / np.sqrt(bias_memory))
-                word_grad = row_grad[place]
-                touched = np.flatnonzero(np.any(word_grad != 0, axis=1))
-                for k, bucket in enumerate((codes[touched] & ((1 << BITS) - 1), codes[touched] >> BITS)):
-                    unique, inverse = np.unique(bucket, return_inverse=True)
-                    g = np.zeros((len(unique), DIMENSIONS), np.float32)
-                    np.add.at(g, inverse, word_grad[touched])
-                    g = (g + decay * self.tables[k][unique]) * known[k][unique][:, None]
-                    table_memory[k][unique] += g * g
-                    self.tables[k][unique] -= rate * g / np.sqrt(table_memory[k][unique])
+                bias_memory += bias_grad**2
+                self.bias -= np.float32(rate * bias_grad / np.sqrt(bias_memory))
+                for table, m, (rows, g) in zip(self.tables, table_memory, table_grads, strict=True):
+                    m[rows] += g * g
+                    table[rows] -= rate * g / np.sqrt(m[rows])
         self.training = False
 
+    def gradients(self, codes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray, decay: float) -> tuple[list[np.ndarray], float, list[tuple[np.ndarray, np.ndarray]]]:
+        """Gradients of the weighted logistic loss with decay: of filters, offsets and output; of the bias; of the rows of each table that the texts touch."""
+        rows, place = self.padded(codes, sizes)
+        top, where = self.pooled(rows, sizes)
+        p = 1 / (1 + np.exp(-(top @ self.out + self.bias)))
+        error = ((p - labels) * weight).astype(np.float32)
+        grads = [np.zeros_like(x) for x in (*self.filters, *self.offsets, self.out)]
+        grads[-1] = top.T @ error + decay * self.out
+        back = (error[:, None] * self.out[None]) * (top > 0)
+        row_grad = np.zeros_like(rows)
+        for j, w in enumerate(WIDTHS):
+            i, f = np.nonzero(back[:, j * FILTERS : (j + 1) * FILTERS])
+            g, start = back[i, j * FILTERS + f], where[i, j * FILTERS + f]
+            np.add.at(grads[len(WIDTHS) + j], f, g)
+            for k in range(w):
+                np.add.at(grads[j][k].T, f, g[:, None] * rows[start + k])
+                np.add.at(row_grad, start + k, g[:, None] * self.filters[j][k].T[f])
+            grads[j] += decay * self.filters[j]
+        word_grad = row_grad[place]
+        touched = np.flatnonzero(np.any(word_grad != 0, axis=1))
+        table_grads = []
+        for table, row, part in zip(self.tables, self.row, halves(codes[touched]), strict=True):
+            unique, inverse = np.unique(row[part], return_inverse=True)
+            g = np.zeros((len(unique), DIMENSIONS), np.float32)
+            np.add.at(g, inverse, word_grad[touched])
+            some = unique > 0  # row 0 stays zero
+            table_grads.append((unique[some], g[some] + decay * table[unique[some]]))
+        return grads, float(error.sum()), table_grads
+
     def packed(self) -> tuple:
-        """The model without empty buckets, for sending."""
-        used = [np.flatnonzero(np.any(t != 0, axis=1)) for t in self.tables]
-        return [(u, t[u]) for u, t in zip(used, self.tables, strict=True)], self.filters, self.offsets, self.out, self.bias
+        """The model, for sending: its known buckets and their rows."""
+        return self.known, self.tables, self.filters, self.offsets, self.out, self.bias
 
     @classmethod
     def unpacked(cls, state: tuple) -> TextCnn:
         model = cls.__new__(cls)
-        tables, model.filters, model.offsets, model.out, model.bias = state
-        model.tables = np.zeros((2, 1 << BITS, DIMENSIONS), np.float32)
-        for table, (used, values) in zip(model.tables, tables, strict=True):
-            table[used] = values
+        model.known, model.tables, model.filters, model.offsets, model.out, model.bias = state
+        model.index()
         return model
 
 
@@ -191,62 +212,88 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, prior: float = 3.0) -
     return float(np.median(cuts[errors == errors.min()]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words: int = 4000) -> tuple[TextCnn, dict[str, float]]:
-    """A model and a threshold for each language, learnt from labelled rows that aren't held out.
-
-    At most most_rows rows of each class are taken, those with the smallest hashes of doc_id, and of them the
-    texts up to most_words words: the only bound on what the driver holds. A fifth of the rows (fold 1) sets
-    the output scale and the thresholds by language; then the model is fitted again on all of them.
-    Labels that are null or neither 0 nor 1, and rows without text, are left out. With a single class the
-    model says that class's share throughout.
-    """
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(fold(F.col("doc_id")) != 0)
-    pick = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    chosen = F.broadcast(pick(0).unionByName(pick(1)))  # 2 * most_rows rows of two numbers at most
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where("text is not null").join(chosen, "doc_id")
-    texts = texts.where(F.size(F.split(F.col("text"), "[ \n\t]")) <= most_words).dropDuplicates(["doc_id"])
-    rows = sorted(texts.select("doc_id", "text", "lang", "toxic", (fold(F.col("doc_id")) == 1).alias("aside")).collect())
-    hasher = Hasher()
-    codes = [hasher([words_of(r["text"].encode())]) for r in rows]
-    labels_, aside = np.array([r["toxic"] for r in rows], np.int64), np.array([r["aside"] for r in rows], bool)
-    model, thresholds = TextCnn(), {}
-    if len(set(labels_.tolist())) < 2:
+def learnt(codes: list[np.ndarray], labels: np.ndarray, langs: np.ndarray, aside: np.ndarray, least: int | None = None) -> tuple[TextCnn, dict[str, float]]:
+    """A model and thresholds from texts as codes; those aside set the output scale and the thresholds (see train())."""
+    thresholds: dict[str, float] = {}
+    if len(set(labels.tolist())) < 2:
+        model = TextCnn([np.zeros(0, np.int32)] * 2)
         model.out[:] = 0
-        model.tables[:] = 0
-        model.bias = np.float32(5 if len(rows) and labels_[0] else -5)
+        model.bias = np.float32(5 if len(labels) and labels[0] else -5)
         return model, thresholds
+    if least is None:
+        least = max(2, min(8, int(np.bincount(labels).min()) // 25))
 
     def logits(m: TextCnn, ids: np.ndarray) -> np.ndarray:
         return np.concatenate([m.logits(codes[i], np.array([len(codes[i])])) for i in ids]) if len(ids) else np.zeros(0)
 
     inside, outside = np.flatnonzero(~aside), np.flatnonzero(aside)
     shift = 0.0
-    if len(set(labels_[inside].tolist())) == 2 and len(set(labels_[outside].tolist())) == 2:
-        trial = TextCnn()
-        trial.fit([codes[i] for i in inside], labels_[inside])
+    if len(set(labels[inside].tolist())) == 2 and len(set(labels[outside].tolist())) == 2:
+        some = [codes[i] for i in inside]
+        trial = TextCnn.over(some, least)
+        trial.fit(some, labels[inside])
         z = logits(trial, outside)
-        cut = best_threshold(1 / (1 + np.exp(-z)), labels_[outside])
+        cut = best_threshold(1 / (1 + np.exp(-z)), labels[outside])
         shift = float(np.log(cut / (1 - cut)))
         scores = 1 / (1 + np.exp(-(z - shift)))
-        langs = np.array([rows[i]["lang"] or "" for i in outside])
-        thresholds = {g: best_threshold(scores[langs == g], labels_[outside][langs == g]) for g in sorted(set(langs.tolist()))}
-    model.fit(codes, labels_)
+        thresholds = {g: best_threshold(scores[langs[outside] == g], labels[outside][langs[outside] == g]) for g in sorted(set(langs[outside].tolist()))}
+    model = TextCnn.over(codes, least)
+    model.fit(codes, labels)
     model.bias -= np.float32(shift)
     return model, thresholds
 
 
-def toxicity(docs: DataFrame, model: TextCnn, thresholds: dict[str, float], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs, then toxic_score (0 to 1) and toxic_flag: score >= the threshold of the row's language.
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words: int = 4000, most_bytes: int = 40_000, least: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> tuple[TextCnn, dict[str, float]]:
+    """A model and a threshold for each language, learnt from labelled rows that aren't held out.
+
+    At most most_rows rows of each class are taken, those with the smallest hashes of their ids, and of them the
+    texts up to most_words words and most_bytes bytes. They are learnt from in one task of an executor, which
+    holds them as 8 bytes a word; only the model comes to the driver. A fifth of the rows (fold 1) sets
+    the output scale and the thresholds by language; then the model is fitted again on all of them.
+    least: in how many training texts a word or stem must stand to count; None: a 25th of the rows of the
+    smaller class, at least 2 and at most 8.
+    Labels that are null or neither 0 nor 1, and rows without text, are left out. An id labelled both ways counts
+    as toxic. Of rows that repeat an id, the smallest text is taken. With a single class the model says
+    that class's share throughout; without rows, that nothing is toxic.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.where(fold(F.col("doc_id")) != 0)
+    pick = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    chosen = F.broadcast(pick(0).unionByName(pick(1)))  # 2 * most_rows rows of two numbers at most
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
+    texts = texts.where(F.octet_length("text") <= most_bytes).join(chosen, "doc_id").where(F.size(F.split(F.col("text"), "[ \n\t]")) <= most_words)
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("row"))
+    rows = texts.select("doc_id", "toxic", (fold(F.col("doc_id")) == 1).alias("aside"), "row.*").repartition(1).sortWithinPartitions("doc_id")
+    bound_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, codes, rest = Hasher(), [], []
+        for part in batches:
+            codes += [hasher([words_of(x)]) for x in raw(part.column("text"))]
+            rest += zip(*(part.column(x).to_pylist() for x in ("toxic", "aside", "lang")), strict=True)
+        toxic, aside, langs = (np.array([r[i] for r in rest], kind) for i, kind in enumerate((np.int64, bool, object)))
+        model, thresholds = learnt(codes, toxic, langs, aside, least)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.packed(), thresholds))], pa.binary())], ["state"])
+
+    found = rows.select("text", "lang", "toxic", "aside").mapInArrow(work, "state binary").collect()  # one row, or none without rows
+    if not found:
+        return learnt([], np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, bool))
+    state, thresholds = pickle.loads(found[0]["state"])
+    return TextCnn.unpacked(state), thresholds
+
+
+def toxicity(docs: DataFrame, model: TextCnn, thresholds: dict[str, float], text_col: str = "text", lang_col: str = "lang", score_col: str = "toxic_score", flag_col: str = "toxic_flag") -> DataFrame:
+    """All columns of docs, then score_col (0 to 1) and flag_col: score >= the threshold of the row's language.
 
     Scores come from whole texts alone. Null text counts as empty. Languages without a threshold, null
-    included, use 0.5. Columns of docs with the two new names are replaced. An empty table gives no rows.
+    included, use 0.5. The two new names must not be among the columns of docs. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    if clash := {score_col.lower(), flag_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has {sorted(clash)} already")
     bound_batches(spark)
-    sent = spark.sparkContext.broadcast(model.packed())  # a few MB at most: two tables of 2^BITS rows
-    base = docs.drop("toxic_score", "toxic_flag")
-    kinds = [f for f in base.schema.fields]
+    sent = spark.sparkContext.broadcast(model.packed())  # 40 bytes for each known bucket, 2 * 2^BITS of them at most
     state: dict = {}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +303,13 @@ def toxicity(docs: DataFrame, model: TextCnn, thresholds: dict[str, float], id_c
             parts = [words_of(x) for x in raw(part.column(text_col))]
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
             score = 1 / (1 + np.exp(-m.logits(hasher(parts), sizes).astype(np.float64)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, score_col])
 
-    schema = type(base.schema)([*kinds, *spark.createDataFrame([], "toxic_score double").schema.fields])
-    scored = base.mapInArrow(work, schema)
+    scored = docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
     limit = F.lit(0.5)
     for lang, t in thresholds.items():
         limit = F.when(F.col(lang_col) == lang, F.lit(t)).otherwise(limit)
-    return scored.withColumn("toxic_flag", F.col("toxic_score") >= limit)
+    return scored.withColumn(flag_col, F.col(score_col) >= limit)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

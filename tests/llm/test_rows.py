@@ -1,0 +1,225 @@
+"""Which rows stay where ids and texts repeat, hot keys, odd graphs: each against a plain version."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import components, near, simhash, toxicity
+from tessera.llm.exact_dedup import exact_dedup
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, h string, kept string, row array<int>, v map<string,int>"
+
+
+def table(spark, rows):
+    """Rows of id and text with columns whose names clash with those that the operators use inside."""
+    return spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or ""), "h", None, [k % 2], {"a": k % 2}) for k, (i, t) in enumerate(rows)], COLUMNS)
+
+
+def rank(i, largest):
+    return (i is None, 0 if i is None else -i if largest else i)
+
+
+def survivors(rows, key, largest):
+    """One row's id of each group, and the texts that may stay with it."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(key(t), []).append((i, t))
+    out = []
+    for g in groups.values():
+        best = min((i for i, _ in g), key=lambda i: rank(i, largest))
+        out.append((best, {t for i, t in g if i == best}))
+    return out
+
+
+def check(got, want):
+    got = list(got)
+    assert len(got) == len(want)
+    for best, texts in want:
+        hits = [r for r in got if r.doc_id == best and r.text in texts]
+        assert len(hits) == 1
+        got.remove(hits[0])
+
+
+CASES = [
+    [(8, "p"), (8, "q"), (9, "p")],
+    [(7, "same"), (7, "same")],
+    [(7, "same"), (7, "Same"), (7, "same")],
+    [(None, "only"), (None, "twice"), (None, "TWICE"), (3, "x"), (None, "x"), (None, None), (5, "")],
+    [(5, "A"), (5, "B"), (9, "B"), (9, "B"), (1, None), (1, ""), (2, None)],
+]
+
+
+@pytest.mark.parametrize("rows", CASES)
+def test_copies_go_row_by_row(spark, rows):
+    docs = table(spark, rows)
+    left = corpus_pipeline.drop_copies(spark, docs, "")
+    assert left.columns == docs.columns and left.schema == docs.schema
+    check(left.collect(), survivors(rows, lambda t: (t or "").lower(), True))
+    for keep in ("smallest", "largest"):
+        kept = exact_dedup(docs, keep=keep).where("kept").collect()
+        assert sorted(str(r.keep_id) for r in kept) == sorted(str(i) for i, _ in survivors(rows, lambda t: (t or "").lower(), keep == "largest"))
+
+
+def test_near_copies_go_row_by_row(spark):
+    words = [f"w{i}" for i in range(120)]
+    a, b = " ".join(words), " ".join(words + ["more"])
+    c = " ".join(f"c{i}" for i in range(100))
+    rows = [(8, a), (8, c), (3, b), (None, b), (None, a + " x"), (None, c), (7, ""), (7, " \n"), (9, None), (None, "alone"), (2, "pair"), (2, "pair")]
+    group = {a: "a", b: "a", a + " x": "a", c: "c", "": "none", " \n": "none", None: "none", "alone": "alone", "pair": "pair"}
+    docs = table(spark, rows)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.schema == docs.schema
+    check(left.collect(), survivors(rows, group.__getitem__, False))
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_random_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i < 0 else int(i), t) for i, t in zip(rng.integers(-1, 12, 150), rng.choice(["a", "A", "b", "B b", "", "c"], 150).tolist(), strict=True)]
+    check(corpus_pipeline.drop_copies(spark, table(spark, rows), "").collect(), survivors(rows, str.lower, True))
+
+
+def test_many_near_copies_below_the_limit(spark):
+    """Members of one group share bands but are mostly below 0.8; those that aren't are found all the same."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(near.shingle_set(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if 9 * k >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    got = {r.doc_id: r for r in near.near_components(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == root and 5 < len(set(root)) < 140
+    assert sorted(i for i, r in got.items() if r.kept) == sorted(set(root))
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def test_hot_keys_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 2**32, 900, dtype=np.uint64)
+    fps = {int(x) | 0xABCDEF0100000000 for x in low}
+    for x in list(fps)[:300]:
+        for k in (1, 2, 3):
+            y = x
+            for bit in rng.choice(32, k, replace=False):
+                y ^= 1 << int(bit)
+            fps.add(y)
+    values = [signed(x) for x in fps]
+    df = spark.createDataFrame([(x,) for x in values], "fp long")
+    got = {(r.a, r.b) for r in simhash.links(df, hot=50).collect()}
+    u = np.array(sorted(values), np.int64)
+    want = {(int(u[i]), int(u[j])) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count((u ^ u[i]).view(np.uint64)) <= 3) if i < j}
+    assert got == want and len(want) > 800
+
+
+def test_twenty_thousand_fingerprints_under_one_key(spark):
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 2**32, 20_000, dtype=np.uint64)) | np.uint64(0x1234567800000000)
+    more = fps[:50] ^ np.uint64(0b101)
+    every = np.unique(np.concatenate([fps, more])).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in every], "fp long")
+    keyed = df.select("fp", F.explode(simhash.keys(F.col("fp"))).alias("key"))
+    hot = keyed.join(keyed.groupBy("key").count().where("count > 1000"), "key")
+    cut = simhash.deeper(hot, 3).groupBy("key", "more").count()
+    assert hot.count() >= 20_000 and cut.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] < 5_000_000  # of 200 million in each key
+    got = {(r.a, r.b) for r in simhash.links(df).collect()}
+    want = set()
+    for i in range(0, len(every), 500):
+        near_ = np.bitwise_count((every[i : i + 500, None] ^ every[None]).view(np.uint64)) <= 3
+        want |= {(int(every[i + a]), int(every[b])) for a, b in zip(*np.nonzero(near_), strict=True) if every[i + a] < every[b]}
+    assert got == want and len(want) >= 50
+
+
+@pytest.mark.parametrize("edges", [[(i, 1000) for i in range(400)], [(i, i + 1) for i in range(300)], [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)]])
+def test_stars_and_paths(spark, edges, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "stage", lambda df, name, f=components.stage: rounds.append(name) or f(df, name))
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.root for r in got} == {min(min(e) for e in edges)} and len(got) == len({x for e in edges for x in e})
+    assert rounds.count("hooks") <= 9
+
+
+def test_forward_pass_and_gradients():
+    rng = np.random.default_rng(2)
+    model = toxicity.TextCnn([np.array([3, 9, 11], np.int32), np.array([1, 4], np.int32)])
+    model.tables = [t.astype(float) * 20 for t in model.tables]
+    model.filters = [x.astype(float) for x in model.filters]
+    model.offsets = [rng.normal(0, 0.3, toxicity.FILTERS) for _ in toxicity.WIDTHS]  # off the kink at zero
+    model.out = model.out.astype(float)
+    sizes = np.array([4, 0, 1, 6])
+    codes = rng.choice([3, 9, 11, 5], 11) | rng.choice([1, 4, 8], 11).astype(np.int64) << toxicity.BITS
+    labels, weight = np.array([1, 0, 1, 0]), np.full(4, 0.25)
+
+    def embedding(code):
+        parts = (code & ((1 << toxicity.BITS) - 1), code >> toxicity.BITS)
+        return sum(t[1 + list(k).index(p)] if p in k else 0 * t[0] for t, k, p in zip(model.tables, model.known, parts, strict=True))
+
+    def plain():
+        out, at = [], 0
+        for n in sizes:
+            rows = [embedding(c) for c in codes[at : at + n]] + [np.zeros(toxicity.DIMENSIONS)] * 2
+            at += n
+            z = float(model.bias)
+            for j, w in enumerate(toxicity.WIDTHS):
+                for f in range(toxicity.FILTERS):
+                    values = [sum(rows[i + k] @ model.filters[j][k][:, f] for k in range(w)) + model.offsets[j][f] for i in range(n + 3 - w)] if n else [0]
+                    z += max(0, *values) * float(model.out[j * toxicity.FILTERS + f])
+            out.append(z)
+        return np.array(out)
+
+    assert np.allclose(model.logits(codes, sizes), plain(), atol=1e-4)
+    model.training = True
+    grads, bias_grad, table_grads = model.gradients(codes, sizes, labels, weight, 0.0)
+
+    def loss():
+        z = plain()
+        return float((weight * (np.log1p(np.exp(z)) - labels * z)).sum())
+
+    def slope(array, index, step=1e-4):
+        old = array[index]
+        array[index] = old + step
+        up = loss()
+        array[index] = old - step
+        down = loss()
+        array[index] = old
+        return (up - down) / (2 * step)
+
+    params = [*model.filters, *model.offsets, model.out]
+    for x, g in zip(params, grads, strict=True):
+        for _ in range(4):
+            index = tuple(int(rng.integers(0, s)) for s in x.shape)
+            assert abs(slope(x, index) - g[index]) < 1e-3
+    for t, (rows, g) in zip(model.tables, table_grads, strict=True):
+        assert 0 not in rows
+        for k, r in enumerate(rows):
+            assert abs(slope(t, (int(r), 2)) - g[k, 2]) < 1e-3
+
+
+def test_held_out_labels_do_not_matter(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(60)], 30)) + (" vexnoid" if i % 4 == 0 else ""), "en", int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(*r[:3], None) for r in rows], "doc_id long, text string, lang string, toxic_score string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = []
+    for known in (labels, flipped):
+        model, thresholds = toxicity.train(docs, known)
+        out = toxicity.toxicity(docs, model, thresholds, score_col="p", flag_col="q")
+        assert out.columns == [*docs.columns, "p", "q"]
+        scores.append({r.doc_id: r.p for r in out.collect()})
+    assert scores[0] == scores[1] and scores[0][0] > 0.5 > scores[0][1]
+    with pytest.raises(ValueError):
+        toxicity.toxicity(docs, model, thresholds)
