@@ -87,15 +87,24 @@ def simhash_pairs(classes: DataFrame) -> DataFrame:
     return own.unionByName(linked).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def with_own(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members (v and its component c among others) with own: how many shingles of v stand in no other component.
+def with_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (v, its size n, its component c, a pivot among others) with own and lost.
 
-    Shingles that a and b don't share number own(a) + own(b) at least if their components differ.
+    own: how many shingles of v stand in no other component; lost: for each of 256 classes of the pivot's other shingles,
+    whether v lacks an odd number of them, as 4 words of bits. Under one pivot, sets a and b of different components
+    differ in own(a) + own(b) shingles, and in one more at least for each bit in which lost differs.
     """
     placed = members.select("v", "c").distinct().join(sets, "v").select("v", "c", F.explode("hashes").alias("h"))
-    alone = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least = most").select("h")
-    own = stage(placed.join(alone, "h").groupBy("v").agg(F.count(F.lit(1)).alias("own")), "own")
-    return members.join(own, "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    spread = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
+    common = stage(placed.join(spread, "h").groupBy("v").agg(F.collect_list("h").alias("common")), "common")
+    of = lambda name: common.select(F.col("v").alias(name), F.col("common").alias(f"{name}_common"))
+    asked = members.select("v", "pivot").distinct().join(of("pivot"), "pivot", "left").join(of("v"), "v", "left")
+    none = F.array().cast("array<bigint>")
+    missing = F.array_except(F.coalesce("pivot_common", none), F.coalesce("v_common", none))
+    asked = stage(asked.select("v", "pivot", F.size(F.coalesce("v_common", none)).alias("shared"), missing.alias("missing")), "missing")
+    words = "transform(array(0, 1, 2, 3), w -> aggregate(filter(missing, h -> (shiftright(h, 6) & 3) = w), 0L, (acc, h) -> acc ^ shiftleft(1L, cast(h & 63 as int))))"
+    found = asked.select("v", "pivot", "shared", F.expr(words).alias("lost"))
+    return stage(members.join(found, ["v", "pivot"]).withColumn("own", F.col("n") - F.col("shared")).drop("shared"), "differences")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -105,7 +114,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are those of all near pairs. Candidates have SimHashes within 3 bits or share a band of minima, and are checked
     exactly. Texts with equal sets are one vertex. In a bucket of many, members are first compared with one of them,
     another in each round, and only pairs that are not yet in one component are compared in the end, save those
-    that have too many shingles which no other component has. So a large group makes no square.
+    that differ too much by with_differences(). So a large group makes no square.
     kept: exactly one row of each component, that with component_id; of rows that repeat this id the one with the
     smallest text_key, and of those that repeat the text as well any one.
     Null text counts as empty; texts without a word are one vertex. Null ids stay null and don't count as
@@ -137,9 +146,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = turn == ROUNDS or square <= 32 * count
         if last:
-            one = with_own(unsettled.select("key", "v", "n", "c"), sets)
-            pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own"))), "key").where("v < other_v and c <> other_c")
-            pairs = pairs.where("9 * (own + other_own) <= n + other_n")  # else the similarity is below 0.8
+            one = with_differences(unsettled.select("key", "v", "n", "c", F.col("other.v").alias("pivot")), sets)
+            pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own", "lost"))), "key").where("v < other_v and c <> other_c")
+            lacking = " + ".join(f"bit_count(lost[{i}] ^ other_lost[{i}])" for i in range(4))
+            pairs = pairs.where(f"9 * (own + other_own + {lacking}) <= n + other_n")  # else the similarity is below 0.8
         else:
             pairs = unsettled.select("v", "n", "c", *(F.col(f"other.{x}").alias(f"other_{x}") for x in "vnc")).where("c <> other_c")
         pairs = pairs.where("5 * least(n, other_n) >= 4 * greatest(n, other_n)")
