@@ -10,15 +10,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, scratch_path, slices
+from tessera.llm.common import bound_batches, scratch_path, slices, stage
 
 #: Payloads from this size on are stored once; further copies become revisit records.
 LEAST_REVISIT = 100
-PAGES_PER_SHARD = 1024
-ROLL_BYTES = 64 << 20
+#: Payload bytes, and RECORD_BYTES more for each record, that a shard holds; compressed bytes after which its files roll.
+SHARD_BYTES = 32 << 20
+RECORD_BYTES = 1 << 10
+ROLL_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -52,12 +54,17 @@ def compressed(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it (s3a and s3n are s3 to Arrow), and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class Shards:
     """Writes records that come in order of shard; a file is complete once it has its final name."""
 
     def __init__(self, out_dir: str, roll: int):
         self.out_dir, self.roll = out_dir, roll
-        self.files, self.root = fs.FileSystem.from_uri(out_dir)
+        self.files, self.root = filesystem(out_dir)
         self.files.create_dir(self.root, recursive=True)
         self.stream, self.shard, self.part, self.done = None, None, 0, []
 
@@ -69,7 +76,7 @@ class Shards:
             self.close()
             self.part += 1
         if self.stream is None:
-            self.name = f"warc-{shard:08d}-{self.part:05d}.warc.gz" if shard >= 0 else f"warc-none-{self.part:05d}.warc.gz"
+            self.name = f"warc-{shard:08d}-{self.part:05d}.warc.gz"
             self.temp = f"{self.root}/.{self.name}.{uuid.uuid4().hex}"
             self.stream, self.size, self.records, self.digest = self.files.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
         self.stream.write(data)
@@ -77,37 +84,81 @@ class Shards:
         self.size, self.records = self.size + len(data), self.records + 1
 
     def close(self) -> None:
+        """Give the file its name. One that another attempt of the task has left there has the same bytes, and stays if whole."""
         if self.stream is not None:
             self.stream.close()
-            self.files.move(self.temp, f"{self.root}/{self.name}")
+            final = f"{self.root}/{self.name}"
+            there = self.files.get_file_info(final)
+            if there.type == fs.FileType.File and there.size != self.size:
+                self.files.delete_file(final)
+            if there.type == fs.FileType.File and there.size == self.size:
+                self.files.delete_file(self.temp)
+            else:
+                self.files.move(self.temp, final)
             self.done.append((f"{self.out_dir}/{self.name}", self.shard, self.part, self.records, self.size, self.digest.hexdigest()))
             self.stream = None
 
 
-def write_warc(pages: DataFrame, out_dir: str, date: str = "2000-01-01T00:00:00Z", pages_per_shard: int = PAGES_PER_SHARD, roll: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def shard_starts(index: DataFrame, shard_bytes: int) -> DataFrame:
+    """The first key of each shard but shard 0: rows of shard and key.
+
+    index: key and size of every record. Records stand in order of their keys and a shard begins where the sizes before it
+    pass the next multiple of shard_bytes, so shards follow from the records alone. Sums are taken inside ranges of keys and
+    then over ranges; how Spark cuts the ranges doesn't matter. Records of one key stay together.
+    """
+    totals = index.groupBy("key").agg(F.sum("size").alias("size"))
+    ranges = stage(totals.repartitionByRange("key").withColumn("p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = ranges.groupBy("p").agg(F.sum("size").alias("all")).select("p", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("p").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, "p")
+    placed = placed.select("key", F.expr(f"(offset + in_range) div {shard_bytes}").alias("shard"))
+    return placed.groupBy("shard").agg(F.min("key").alias("key")).where("shard > 0")
+
+
+def shard_of(key: Column, starts: Column) -> Column:
+    """How many of the sorted keys in the array starts are not above key, found by halving."""
+    low_high = F.struct(F.lit(0).alias("low"), F.size(starts).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = (acc["low"] < acc["high"]) & (F.get(starts, middle) <= key)
+        above = (acc["low"] < acc["high"]) & ~(F.get(starts, middle) <= key)
+        return F.struct(F.when(below, middle + 1).otherwise(acc["low"]).alias("low"), F.when(above, middle).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int")), low_high, halve, lambda acc: acc["low"])
+
+
+def write_warc(pages: DataFrame, out_dir: str, date: str = "2000-01-01T00:00:00Z", shard_bytes: int = SHARD_BYTES, roll: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record per page under out_dir; returns the manifest (file, shard, part, records, bytes, sha256), also kept in out_dir/manifest.
 
     Of equal payloads of LEAST_REVISIT bytes or more, the smallest page id is the response and others
-    revisit it. Records are sorted by page id, a shard holds a fixed range of ids, and its files roll at
-    `roll` compressed bytes, so names and bytes don't depend on tasks or retries. Files are written under
-    temporary names and renamed; a file counts only if the manifest lists it.
-    Null html is an empty payload; null ids share a shard of their own and are responses. Rows that
+    revisit it. Records are sorted by page id (null first) and payload digest. A shard holds a range of them, which
+    follows from their sizes (see shard_starts()), and its files roll at `roll` compressed bytes, so names and bytes
+    don't depend on tasks or retries, nor on how the ids are spaced. A shard is a task; only equal rows can make one larger
+    than shard_bytes and one record. Files are written under temporary names and renamed; a file counts only if the manifest lists it.
+    Null html is an empty payload; records of null ids are responses. Rows that
     repeat id and payload are responses alike. Other columns aren't read. No pages: an empty manifest.
+    out_dir is a path that Arrow can write (file, hdfs, s3a, gs, abfs).
     """
     spark = pages.sparkSession
     bound_batches(spark)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("shard", F.coalesce(F.floor(F.col("page_id") / pages_per_shard).cast("long"), F.lit(-1)))
+    key = F.struct(F.col("page_id").isNotNull().alias("some"), F.coalesce("page_id", F.lit(0)).alias("id"), F.col("digest").alias("digest"))
+    index = stage(rows.select("page_id", "digest", "size"), "index")  # all that is decided on: no payloads
+    starts = shard_starts(index.select(key.alias("key"), (F.col("size") + RECORD_BYTES).alias("size")), shard_bytes)
+    starts = stage(starts.agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "key"))), lambda x: x["key"]).alias("starts")), "starts")
+    count = 1 + starts.select(F.size("starts")).first()[0]  # about the payloads' bytes / shard_bytes
     # Payloads are shuffled once, by shard. Which records are revisits is found on digests alone; those
     # small rows go to the shards as well and sort before the pages that they are about.
-    large = rows.where(F.col("size") >= LEAST_REVISIT)
+    large = index.where(F.col("size") >= LEAST_REVISIT)
     copies = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = large.select("shard", "page_id", "digest").join(copies, "digest").where("page_id > first").distinct()
+    again = large.select("page_id", "digest").join(copies, "digest").where("page_id > first").distinct()
     both = rows.select("*", F.lit(1).alias("step"), F.lit(None).cast("long").alias("first")).unionByName(again.withColumn("step", F.lit(0)), allowMissingColumns=True)
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "digest", "step", "url")
+    both = both.withColumn("starts", starts.scalar()).withColumn("shard", shard_of(key, F.col("starts"))).drop("starts")
+    ordered = both.repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").isNotNull(), "page_id", "digest", "step", "url")
     ordered = ordered.select("shard", "page_id", "url", "payload", "size", "digest", "step", "first")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +182,13 @@ def write_warc(pages: DataFrame, out_dir: str, date: str = "2000-01-01T00:00:00Z
     return spark.read.schema(listed.schema).parquet(f"{out_dir}/manifest")
 
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, one after another."""
+def members(stream, digest) -> Iterator[bytes]:
+    """The gzip members of a stream, one after another; digest is updated with all that is read."""
     z, data, parts = zlib.decompressobj(31), b"", []
     while True:
-        data = data or stream.read(1 << 20)
+        if not data:
+            data = stream.read(1 << 20)
+            digest.update(data)
         if not data:
             if parts:
                 raise ValueError("the last record is cut off")
@@ -165,30 +218,34 @@ def parsed(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """A row per record of the files that a manifest lists; wrong digests or counts end the job."""
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A row per record of the files that a manifest lists; wrong digests, of a record or a whole file, or counts end the job."""
+    files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    count = max(1, size // ROLL_BYTES, min(files, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            for file, records in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                files, path = fs.FileSystem.from_uri(file)
-                rows, n = [], 0
+            for listed in batch.to_pylist():
+                files, path = filesystem(listed["file"])
+                rows, n, digest = [], 0, hashlib.sha256()
                 with files.open_input_stream(path, compression=None) as stream:
-                    for data in members(stream):
+                    for data in members(stream, digest):
                         rows.append(parsed(data))
                         n += 1
                         if len(rows) == 1000:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            yield batch_of(rows)
                             rows = []
-                if n != records:
-                    raise ValueError(f"{file} has {n} records instead of {records}")
+                if n != listed["records"]:
+                    raise ValueError(f"{listed['file']} has {n} records instead of {listed['records']}")
+                if digest.hexdigest() != listed["sha256"]:
+                    raise ValueError(f"the digest of {listed['file']} is wrong")
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield batch_of(rows)
 
-    files = manifest.select("file", "records").repartition(count)
-    return files.mapInArrow(work, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    listed = manifest.select("file", "records", "sha256").repartition(count)
+    return listed.mapInArrow(work, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:

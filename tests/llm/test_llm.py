@@ -334,7 +334,7 @@ def test_warc(spark, tmp_path):
     bytes_ = []
     for k, parts in (("a", 4), ("b", 1)):
         out = f"file://{tmp_path}/{k}"
-        manifest = warc.write_warc(pages.repartition(parts), out, roll=300)
+        manifest = warc.write_warc(pages.repartition(parts), out, shard_bytes=2500, roll=300)
         got = {r.page_id: r for r in warc.read_warc(spark, manifest).collect()}
         bytes_.append({p.name: p.read_bytes() for p in (tmp_path / k).glob("*.gz")})
         assert len(bytes_[-1]) == manifest.count() > 3 and not list((tmp_path / k).glob(".warc*"))
