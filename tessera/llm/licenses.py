@@ -51,29 +51,39 @@ KNOWN = {
     "Zlib": ZLIB,
 }
 
-#: Spellings that count as one, in canonical text with blanks around words.
+#: Spellings that count as one wherever they stand in canonical text, inside longer words too (licences, unmodified).
 SPELLINGS = [
     ("licence", "license"), ("favour", "favor"), ("authorise", "authorize"), ("recognise", "recognize"),
     ("organisation", "organization"), ("modifie", "modify"), ("acknowledgement", "acknowledgment"), ("programme", "program"),
     ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("initialise", "initialize"),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
+#: A line that begins with a copyright mark, and a year or the mark (c) behind it; a clause numbered (c) is none.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9])|(?:\(c\)|©)[ \t]*[0-9]{4})[^\n]*"
 RESERVED = r"all rights reserved"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Lines in front of a licence, 10 of them at most: a short title that names a licence, any copyright line. For lower-case text.
+HEAD_LINE = r"(?:(?:[^\n]{0,60}[^a-z0-9\n])?licen[cs]e(?:[^a-z0-9\n][^\n]{0,30})?|[^a-z0-9\n]*copyright(?:[^a-z0-9\n][^\n]*)?|[ \t]*all rights reserved[^\n]*)"
+HEAD_LINES = rf"\A[ \t\n\f]*(?:{HEAD_LINE}\n[ \t\n\f]*){{1,10}}"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright lines, one blank for all that is neither letter nor digit, one spelling."""
-    c = F.regexp_replace(F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, ""), RESERVED, "")
+def plain_lower(text: Column) -> Column:
+    """A-Z in lower case, line ends without carriage returns."""
+    return ascii_lower(F.replace(text, F.lit("\r"), F.lit("")))
+
+
+def canonical(lower: Column) -> Column:
+    """Of plain_lower() text: no copyright lines, one blank for all that is neither letter nor digit, one spelling."""
+    c = F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, ""), RESERVED, "")
     c = F.trim(F.regexp_replace(c, NOT_WORD, " "))
     for other, usual in SPELLINGS:
         c = F.replace(c, F.lit(other), F.lit(usual))
     return c
 
 
-#: Lines in front of a licence: blank, a short title that names a licence, any copyright line. For lower-case text.
-HEAD_LINES = r"\A(?:[^\S\n]*\n|[^\n]{0,60}\blicen[cs]e\b[^\n]{0,30}\n|[^a-z0-9\n]*copyright\b[^\n]*\n|[^\S\n]*all rights reserved[^\n]*\n)+"
+def headless(lower: Column) -> Column:
+    """What follows the title and copyright lines at the start."""
+    return F.regexp_replace(lower, HEAD_LINES, "")
 
 
 def full_texts() -> dict[str, str]:
@@ -81,16 +91,11 @@ def full_texts() -> dict[str, str]:
     return KNOWN | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
-def headless(text: Column) -> Column:
-    """Canonical form of what follows the title and copyright lines at the start."""
-    return canonical(F.regexp_replace(ascii_lower(F.replace(text, F.lit("\r"), F.lit(""))), HEAD_LINES, ""))
-
-
-def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", heads: bool = True) -> DataFrame:
+def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, digest (SHA-256 of the canonical text), license_id (null if none), is_license.
 
-    The whole text must be a known licence, up to canonical form; known are full_texts() by default. With heads,
-    a text that is none is looked up once more without titles and copyright lines of any form at its start.
+    The whole text must be a known licence, up to canonical form; known are full_texts() by default. A text that
+    is none is looked up once more without titles and copyright lines of any form at its start, among the known texts without theirs.
     Of known texts with one digest the smallest name counts. Null text counts as empty, and empty canonical text is never a licence. Ids may be
     null or repeat. Other columns aren't read. An empty table gives no rows.
     """
@@ -99,37 +104,44 @@ def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: s
     table = spark.createDataFrame(sorted(known.items()) or [], "license_id string, text string")
 
     def names(form: Column, digest: str, name: str) -> DataFrame:
-        rows = table.select(F.sha2(form, 256).alias(digest), "license_id", form.alias("c")).where("c <> ''")
+        rows = table.select("license_id", form.alias("c")).where("c <> ''").select(F.sha2("c", 256).alias(digest), "license_id")
         rows = rows.groupBy(digest).agg(F.min("license_id").alias(name))
         return F.broadcast(rows) if len(known) <= BROADCAST_TEXTS else rows
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), *([F.sha2(headless(text), 256).alias("rest")] if heads else []))
-    rows = rows.join(names(canonical(F.col("text")), "digest", "license_id"), "digest", "left")
-    if heads:
-        rows = rows.join(names(headless(F.col("text")), "rest", "rest_id"), "rest", "left")
-        rows = rows.withColumn("license_id", F.coalesce("license_id", "rest_id"))
-    return rows.select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    low = plain_lower(F.col("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), plain_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("low"))
+    rows = rows.select("doc_id", "low", headless(F.col("low")).alias("body"), F.sha2(canonical(F.col("low")), 256).alias("digest"))
+    rows = rows.select("doc_id", "digest", F.when(F.col("body") == F.col("low"), F.col("digest")).otherwise(F.sha2(canonical(F.col("body")), 256)).alias("rest"))
+    rows = rows.join(names(canonical(low), "digest", "whole_id"), "digest", "left").join(names(canonical(headless(low)), "rest", "rest_id"), "rest", "left")
+    license_id = F.coalesce("whole_id", "rest_id")
+    return rows.select("doc_id", "digest", license_id.alias("license_id"), license_id.isNotNull().alias("is_license"))
 
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
-    """Licences of KNOWN among all documents, as OP1_SQL has them."""
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), KNOWN, heads=False)
+    """Known licences among all documents."""
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _sql() -> str:
     lit = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"translate(text, '{UPPER}', '{LOWER}')"
-    form = f"regexp_replace(regexp_replace({form}, {lit(COPYRIGHT_LINE)}, '', 'g'), {lit(RESERVED)}, '', 'g')"
-    form = f"trim(regexp_replace({form}, {lit(NOT_WORD)}, ' ', 'g'))"
-    for other, usual in SPELLINGS:
-        form = f"replace({form}, {lit(other)}, {lit(usual)})"
-    rows = ", ".join(f"({lit(n)}, {lit(t)})" for n, t in sorted(KNOWN.items()))
+
+    def form(low: str) -> str:
+        c = f"regexp_replace(regexp_replace({low}, {lit(COPYRIGHT_LINE)}, '', 'g'), {lit(RESERVED)}, '', 'g')"
+        c = f"trim(regexp_replace({c}, {lit(NOT_WORD)}, ' ', 'g'))"
+        for other, usual in SPELLINGS:
+            c = f"replace({c}, {lit(other)}, {lit(usual)})"
+        return c
+
+    low = f"replace(translate(text, '{UPPER}', '{LOWER}'), chr(13), '')"
+    body = f"regexp_replace(low, {lit(HEAD_LINES)}, '')"
+    rows = ", ".join(f"({lit(n)}, {lit(t)})" for n, t in sorted(full_texts().items()))
     return f"""
-WITH known AS (SELECT sha256({form}) AS digest, min(name) AS license_id FROM (VALUES {rows}) AS k(name, text) GROUP BY 1),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
-SELECT doc_id, x.digest, license_id, license_id IS NOT NULL AS is_license
-FROM (SELECT doc_id, sha256({form}) AS digest FROM d) x LEFT JOIN known ON x.digest = known.digest
+WITH k AS (SELECT name, {form('low')} AS whole, {form(body)} AS rest FROM (SELECT name, {low} AS low FROM (VALUES {rows}) AS v(name, text))),
+wholes AS (SELECT sha256(whole) AS digest, min(name) AS whole_id FROM k WHERE whole <> '' GROUP BY 1),
+rests AS (SELECT sha256(rest) AS rest, min(name) AS rest_id FROM k WHERE rest <> '' GROUP BY 1),
+d AS (SELECT doc_id, sha256({form('low')}) AS digest, sha256({form(body)}) AS rest FROM (SELECT doc_id, {low} AS low FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))
+SELECT doc_id, d.digest, coalesce(whole_id, rest_id) AS license_id, coalesce(whole_id, rest_id) IS NOT NULL AS is_license
+FROM d LEFT JOIN wholes ON d.digest = wholes.digest LEFT JOIN rests ON d.rest = rests.rest
 """
 
 
