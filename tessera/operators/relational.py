@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import UnknownAttribute
@@ -99,14 +99,25 @@ def row_order(df: DataFrame) -> list[str]:
     return [f.name for f in sorted(df.schema.fields, key=lambda f: rank[kind_of(f.dataType)])]
 
 
+def numbered(df: DataFrame, keys: Sequence[str], name: str = "position") -> DataFrame:
+    """Rows with their place in the order of the keys, from 1; ties come in any order.
+
+    Ranges of keys are counted, and places follow from the counts of earlier ranges: a row per range meets in one task.
+    """
+    columns = _columns(df, keys)
+    ranges = df.repartitionByRange(*columns).withColumn("__range", F.spark_partition_id())
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows")).select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*columns))
+    return ranges.withColumn("__inside", inside).join(offsets, "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
+
+
 def out_of_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: count, rows, and violations, how many rows of a sorted frame come before a smaller one.
 
     Each partition is checked by itself in its order, and then the ends of neighbours; only a row per
     partition meets in one task.
     """
-    from pyspark.sql import Window
-
     key = F.struct(*_columns(df, keys))
     rows = df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), key.alias("k"))
     inner = rows.withColumn("before", F.lag("k").over(Window.partitionBy("p").orderBy("i")))

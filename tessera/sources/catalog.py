@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.errors import ParseError, UnknownRelation
+from tessera.sources.text import read_tbl
 
 TYPES = {"Int": T.IntegerType(), "Double": T.DoubleType(), "String": T.StringType()}
 
@@ -46,8 +49,34 @@ def schema_of(text: str, relation: str) -> T.StructType:
     return found[relation][1]
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self.makers, self.made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The parquet tables of a folder, and partsupp derived from line items."""
-    out = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    out["partsupp"] = spark.sql(PSV.replace("FROM lineitem", "FROM {lineitem}"), lineitem=out["lineitem"])
+    out = Tables({t: lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
+    out.makers["partsupp"] = lambda: spark.sql(PSV.replace("FROM lineitem", "FROM {lineitem}"), lineitem=out["lineitem"])
     return out
+
+
+def catalog_tables(spark: SparkSession, text: str, folder: str) -> Tables:
+    """The text tables of a catalog: each relation's rows are read from folder/<relation>.tbl."""
+    return Tables({name: lambda name=name, schema=schema: read_tbl(spark, f"{folder.rstrip('/')}/{name}.tbl", schema) for name, (_, schema) in parse_catalog(text).items()})
