@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,10 @@ MARK = "▁"
 #: Fixed values of the protobuf: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: What an unknown piece is decoded to, also a fixed value.
+UNKNOWN_TEXT = " \u2047 "
+
+codecs.register_error("tessera_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -188,6 +193,27 @@ class PieceEncoder:
         out = b"".join(self.values[np.frombuffer(ids, "<u4")].tolist())
         return out[1:] if self.model.prefix and out[:1] == b" " else out
 
+    def text(self, ids: Sequence[int]) -> str:
+        """The text of any ids, as the SentencePiece library decodes them; ids must be numbers of pieces.
+
+        Control pieces have no text, unknown ones UNKNOWN_TEXT. Bytes that make no UTF-8 character give U+FFFD each.
+        The mark in front that encoding adds is taken off; where blanks are squeezed, those of all leading pieces that are a mark alone.
+        """
+        model, out, fresh = self.model, [[]], True
+        for i in ids:
+            kind = model.types[i]
+            if kind == CONTROL:
+                out.append([])  # bytes on both sides of it make no character together
+                continue
+            piece = UNKNOWN_TEXT.encode() if kind == UNKNOWN else model.bytes[i]
+            if fresh and kind != BYTE and kind != UNKNOWN and (model.prefix or model.squeeze) and model.pieces[i].startswith(MARK):
+                piece = piece[1:]
+                fresh = model.squeeze and not piece
+            elif piece:
+                fresh = False
+            out[-1].append(piece)
+        return "".join(b"".join(x).decode("utf-8", "tessera_each_byte") for x in out)
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -230,6 +256,28 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, parity boolean, round_trip boolean" + (", ids array<int>" if with_ids else ""))
 
 
+def decode_pieces(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """One row per input row: doc_id, text (of the ids), parity (the SentencePiece library decodes them to the same).
+
+    Null arrays count as empty and have empty text; null ids are left out, numbers that no piece has count as unknown.
+    Ids of rows may be null or repeat. Other columns aren't read. An empty table gives no rows.
+    """
+    bound_batches(rows.sparkSession)
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<bigint>").alias("ids"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        size, unknown = len(enc.model.pieces), enc.model.unknown
+        for part in batches:
+            ids = [[i if 0 <= i < size else unknown for i in x or () if i is not None] for x in part.column("ids").to_pylist()]
+            texts = [enc.text(x) for x in ids]
+            same = [x == y for x, y in zip(texts, enc.peer.decode(ids) if ids else [], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "text", "parity"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(work, f"doc_id {kind}, text string, parity boolean")
+
+
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """All documents encoded, held against the SentencePiece library, and decoded."""
     return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
