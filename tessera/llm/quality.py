@@ -17,85 +17,101 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 #: A repeat counts from so many words on; how much of a text repeats may cover, and how long one may be.
 LEAST_REPEAT, MOST_COVERED, LONGEST_REPEAT = 8, 0.3, 100
+#: Words compared in one numpy step.
+STEP = 1 << 18
 
 
-def suffix_array(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of several texts in one row, and the ranks by their first 2, 4, 8, .. words.
+def suffix_array(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffix array of several texts in one row.
 
     words: numbers of all words; ends: for each position, where its text ends. Suffixes end with their text and
     those of different texts never tie. Prefix doubling that sorts only what is still tied.
     """
     n, first = len(words), np.int64(words.max(initial=0)) + 2
     at = np.arange(n)
-    text = np.cumsum(np.concatenate(([0], ends[:-1] != ends[1:]))) if n else at
-    follow = np.where(at + 1 < ends, words[np.minimum(at + 1, n - 1)] + 1, 0) if n else at
+    if not n:
+        return at
+    text = np.cumsum(np.concatenate(([0], ends[:-1] != ends[1:])))
+    follow = np.where(at + 1 < ends, words[np.minimum(at + 1, n - 1)] + 1, 0)
     key = (text * first + words) * first + follow
+    del text, follow
     order = np.argsort(key, kind="stable")
-    rank, group = np.empty(n, np.int64), np.empty(n, np.int64)
+    rank = np.empty(n, np.int64)
 
     def ranked(order: np.ndarray, key: np.ndarray, old: np.ndarray | None) -> np.ndarray:
         """Give the positions in order the ranks of their groups; return those still tied."""
-        k = key[order] if old is None else key
-        new = np.concatenate(([True], k[1:] != k[:-1]))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(k)))
+        size = np.diff(np.append(begin, len(key)))
         place = np.repeat(begin, size)
         if old is not None:
             fresh = np.concatenate(([True], old[1:] != old[:-1]))
-            place = old + place - np.repeat(np.flatnonzero(fresh), np.diff(np.append(np.flatnonzero(fresh), len(k))))
-        rank[order], group[order] = place, np.repeat(size, size)
+            place = old + place - np.repeat(np.flatnonzero(fresh), np.diff(np.append(np.flatnonzero(fresh), len(key))))
+        rank[order] = place
         return order[np.repeat(size, size) > 1]
 
-    if not n:
-        return at, []
-    tied, levels, reach = ranked(order, key, None), [], 2
-    levels.append(rank.copy())
+    tied, reach = ranked(order, key[order], None), 2
+    del key
     while len(tied):
         after = np.where(tied + reach < ends[tied], rank[np.minimum(tied + reach, n - 1)] + 1, 0)
         key = rank[tied] * np.int64(n + 1) + after
         sort = np.argsort(key, kind="stable")
         tied = ranked(tied[sort], key[sort], rank[tied[sort]])
         reach *= 2
-        levels.append(rank.copy())
-    order = np.empty(n, np.int64)
     order[rank] = at
-    return order, levels
-
-
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """For each place of the suffix array but the first, the words shared with the suffix before it (0 if below 2)."""
-    shared = np.zeros(max(len(order) - 1, 0), np.int64)
-    if len(order) < 2:
-        return shared
-    a, b = order[:-1], order[1:]
-    some = np.flatnonzero(levels[0][a] == levels[0][b])
-    a, b, got = a[some], b[some], np.zeros(len(some), np.int64)
-    n = len(order)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + got, b + got
-        whole = (x + (2 << k) <= ends[a]) & (y + (2 << k) <= ends[b])
-        got += np.where(whole & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)]), 2 << k, 0)
-    shared[some] = got
-    return shared
+    return order
+
+
+def shared_words(words: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words from positions a[i] and b[i] on are equal, up to the ends of their texts.
+
+    Blocks are compared, twice as long each time, for the pairs that are equal so far (first their first words); at most STEP words at once.
+    """
+    room = np.minimum(ends[a] - a, ends[b] - b)
+    got, open_, width = np.zeros(len(a), np.int64), np.flatnonzero(words[a] == words[b]), 2
+    while len(open_):
+        still = []
+        for i in range(0, len(open_), max(1, STEP // width)):
+            some = open_[i : i + max(1, STEP // width)]
+            step = np.arange(min(width, int((room[some] - got[some]).max(initial=0))))
+            x, y = (z[some, None] + got[some, None] + step for z in (a, b))
+            same = (got[some, None] + step < room[some, None]) & (words[np.minimum(x, len(words) - 1)] == words[np.minimum(y, len(words) - 1)])
+            whole = same.all(axis=1)
+            got[some] += np.where(whole, len(step), same.argmin(axis=1)) if len(step) else 0
+            still.append(some[whole & (got[some] < room[some])])
+        open_, width = np.concatenate(still), min(2 * width, STEP)
+    return got
 
 
 def longest_matches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each position the length in words of the longest string from there that occurs elsewhere in its text.
 
-    Found from the LCP intervals; odd lengths are completed by comparing the next word. Below 2 it is 0.
+    That is the greater of its common prefixes with both neighbours in the suffix array, so the bounds of all LCP
+    intervals around it. Where the words in front of a suffix and of its lower neighbour are equal, the common
+    prefix is that of the position before, less one; only the others are compared, whose lengths sum to
+    n log n at most, so a few numbers for each word are all that is held, whatever repeats.
     """
-    order, levels = suffix_array(words, ends)
-    shared = common_prefixes(order, levels, ends)
-    some = np.flatnonzero(shared)
-    if len(some):
-        n = len(words)
-        x, y = order[some] + shared[some], order[some + 1] + shared[some]
-        inside = (x < ends[order[some]]) & (y < ends[order[some + 1]])
-        shared[some] += inside & (words[np.minimum(x, n - 1)] == words[np.minimum(y, n - 1)])
-    best = np.zeros(len(words), np.int64)
-    if len(order) > 1:
-        np.maximum.at(best, order[:-1], shared)
-        np.maximum.at(best, order[1:], shared)
+    n = len(words)
+    best = np.zeros(n, np.int64)
+    if n < 2:
+        return best
+    order = suffix_array(words, ends)
+    lower = np.full(n, -1, np.int64)
+    pair = ends[order[1:]] == ends[order[:-1]]
+    lower[order[1:][pair]] = order[:-1][pair]
+    at = np.flatnonzero(lower >= 0)
+    low = lower[at]
+    inner = (at > 0) & (low > 0)  # both go on to the left, within their text
+    inner[inner] = (ends[at[inner] - 1] == ends[at[inner]]) & (ends[low[inner] - 1] == ends[low[inner]])
+    inner[inner] = words[at[inner] - 1] == words[low[inner] - 1]
+    asked = at[~inner]
+    shared, origin = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    shared[asked] = shared_words(words, ends, asked, lower[asked])
+    origin[asked] = asked
+    origin = np.maximum.accumulate(origin)
+    shared[at] = shared[origin[at]] - (at - origin[at])
+    best[at] = shared[at]
+    best[low] = np.maximum(best[low], shared[at])  # a suffix is the lower neighbour of one at most
     return best
 
 

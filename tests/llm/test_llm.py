@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -208,6 +209,19 @@ def test_quality(docs, spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("period", [1, 2, 777])
+def test_long_repetitive_text(period):
+    """However much a text repeats, some numbers for each word are held, not some for each doubling."""
+    n = 1 << 18
+    words = np.arange(n) % period
+    tracemalloc.start()
+    best = quality.longest_matches(words, np.full(n, n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (best[period:] == n - np.arange(period, n)).all() and (best[:period] == n - period - np.arange(period)).all()
+    assert peak < 18 * 8 * n
+
+
 SECRETS = st.lists(st.sampled_from(["password", "Token", "api_key", "apikey", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "QWERTY123456789", "é", "x9Kq2Lm8Zt4Vb7Nc1Wd5", "internationalizationService", "secret: ", "\n", ".", "🙂"]), max_size=14).map("".join)
 
 
