@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +20,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one Python step holds at a time, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 
+#: Scratch paths that the innermost open passing() of this thread has made, and the path of each staged table.
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -34,6 +41,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
+    if (made := _OPEN.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -53,7 +62,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the scratch table of a frame that stage() returned, once all that reads it has been written."""
+    if path := _PATHS.pop(df, None):
+        drop_path(df.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the scratch tables made inside at the end, save those staged frames that the yielded function was given."""
+    made: list[str] = []
+    kept: list[str] = []
+    token = _OPEN.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_PATHS[df])
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            if path not in kept:
+                drop_path(spark, path)
+        if (outer := _OPEN.get()) is not None:
+            outer += kept
 
 
 def ascii_lower(c: Column) -> Column:

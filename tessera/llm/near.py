@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, raw, slices, stage
+from tessera.llm.common import bound_batches, passing, raw, slices, stage
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import SEED, links, majority, shingle_hashes
 
@@ -122,46 +122,47 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    # Numbers of rows are given once, in a written table, so that lost tasks can't change them.
-    marks = stage(marked(rows, shingle).withColumn("row", F.monotonically_increasing_id()), "marks")
-    classes = stage(marks.groupBy("v").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
-    close = stage(simhash_pairs(classes.where("n > 0").select("v", "fp")), "close")
-    keyed = classes.select("v", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key")
-    members = stage(keyed.join(shared, "key"), "members")
-    asked = members.select("v").unionByName(close.select(F.col("a").alias("v"))).unionByName(close.select(F.col("b").alias("v"))).distinct()
-    wanted = classes.join(asked, "v", "left_semi").select("text_key")
-    texts = rows.join(wanted.distinct(), "text_key", "left_semi").select("text_key", "text").distinct()
-    sets = stage(shingle_sets(texts, shingle).dropDuplicates(["v"]), "sets")
-
-    tried, near = close, stage(similar(close, sets), "near")
-    roots = connected_components(near)
-    for turn in range(ROUNDS + 1):
-        placed = members.join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
-        pick = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("by"), "v", "n", "c")).alias("other")
-        buckets = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size"), pick)
-        unsettled = stage(placed.join(buckets.where("least <> most").select("key", "size", "other"), "key"), "unsettled")
-        count, square = unsettled.agg(F.count(F.lit(1)), F.sum("size")).first()
-        if not count:
-            break
-        last = turn == ROUNDS or square <= 32 * count
-        if last:
-            one = with_differences(unsettled.select("key", "v", "n", "c", F.col("other.v").alias("pivot")), sets)
-            pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own", "lost"))), "key").where("v < other_v and c <> other_c")
-            lacking = " + ".join(f"bit_count(lost[{i}] ^ other_lost[{i}])" for i in range(4))
-            pairs = pairs.where(f"9 * (own + other_own + {lacking}) <= n + other_n")  # else the similarity is below 0.8
-        else:
-            pairs = unsettled.select("v", "n", "c", *(F.col(f"other.{x}").alias(f"other_{x}") for x in "vnc")).where("c <> other_c")
-        pairs = pairs.where("5 * least(n, other_n) >= 4 * greatest(n, other_n)")
-        pairs = pairs.select(F.least("v", "other_v").alias("a"), F.greatest("v", "other_v").alias("b")).distinct()
-        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stage(similar(pairs, sets), "near")
-        tried, near = tried.unionByName(pairs), near.unionByName(found)
+    with passing(docs.sparkSession) as keep:
+        # Numbers of rows are given once, in a written table, so that lost tasks can't change them.
+        marks = keep(stage(marked(rows, shingle).withColumn("row", F.monotonically_increasing_id()), "marks"))
+        classes = stage(marks.groupBy("v").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+        close = stage(simhash_pairs(classes.where("n > 0").select("v", "fp")), "close")
+        keyed = classes.select("v", "n", F.explode("bands").alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key")
+        members = stage(keyed.join(shared, "key"), "members")
+        asked = members.select("v").unionByName(close.select(F.col("a").alias("v"))).unionByName(close.select(F.col("b").alias("v"))).distinct()
+        wanted = classes.join(asked, "v", "left_semi").select("text_key")
+        texts = rows.join(wanted.distinct(), "text_key", "left_semi").select("text_key", "text").distinct()
+        sets = stage(shingle_sets(texts, shingle).dropDuplicates(["v"]), "sets")
+
+        tried, near = close, stage(similar(close, sets), "near")
         roots = connected_components(near)
-        if last:
-            break
-
-    named = stage(classes.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "named")
+        for turn in range(ROUNDS + 1):
+            placed = members.join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
+            pick = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("by"), "v", "n", "c")).alias("other")
+            buckets = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size"), pick)
+            unsettled = stage(placed.join(buckets.where("least <> most").select("key", "size", "other"), "key"), "unsettled")
+            count, square = unsettled.agg(F.count(F.lit(1)), F.sum("size")).first()
+            if not count:
+                break
+            last = turn == ROUNDS or square <= 32 * count
+            if last:
+                one = with_differences(unsettled.select("key", "v", "n", "c", F.col("other.v").alias("pivot")), sets)
+                pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own", "lost"))), "key").where("v < other_v and c <> other_c")
+                lacking = " + ".join(f"bit_count(lost[{i}] ^ other_lost[{i}])" for i in range(4))
+                pairs = pairs.where(f"9 * (own + other_own + {lacking}) <= n + other_n")  # else the similarity is below 0.8
+            else:
+                pairs = unsettled.select("v", "n", "c", *(F.col(f"other.{x}").alias(f"other_{x}") for x in "vnc")).where("c <> other_c")
+            pairs = pairs.where("5 * least(n, other_n) >= 4 * greatest(n, other_n)")
+            pairs = pairs.select(F.least("v", "other_v").alias("a"), F.greatest("v", "other_v").alias("b")).distinct()
+            pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = stage(similar(pairs, sets), "near")
+            tried, near = tried.unionByName(pairs), near.unionByName(found)
+            roots = connected_components(near)
+            if last:
+                break
+
+        named = keep(stage(classes.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "named"))
     placed = marks.select("doc_id", "text_key", "row", "v").join(named, "v").select("doc_id", "text_key", "row", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row")).alias("first")
     firsts = placed.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))

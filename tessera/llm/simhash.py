@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, raw, slices, stage
+from tessera.llm.common import bound_batches, passing, raw, slices, stage
 from tessera.llm.components import connected_components
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -167,14 +167,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null ids stay null and don't count as smallest, unless a component has no other. Repeated rows are
     kept. Other columns are not read. An empty table gives no rows.
     """
-    fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = connected_components(links(classes.select("fp"), most))
-    linked = classes.join(roots.select(F.col("v").alias("fp"), "root"), "fp")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stage(linked.join(smallest, "root").select("fp", "component_id"), "components")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    named = stage(named, "named")
+    with passing(docs.sparkSession) as keep:
+        fps = keep(stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints"))
+        classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+        roots = connected_components(links(classes.select("fp"), most))
+        linked = classes.join(roots.select(F.col("v").alias("fp"), "root"), "fp")
+        smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        named = stage(linked.join(smallest, "root").select("fp", "component_id"), "components")
+        named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+        named = keep(stage(named, "named"))
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
