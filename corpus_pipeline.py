@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import secrets
-from tessera.llm.common import stage
+from tessera.llm.common import passing, stage, unstage
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.near import near_components
 from tessera.llm.packing import pack
@@ -99,8 +99,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written as Parquet and read again."""
+    """All stages on documents; each result is written as Parquet and read again.
+
+    Once a stage's result is written, the tables that it made on the way and the result before it are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        with passing(spark) as keep:
+            result = keep(stage(function(spark, docs, sf_dir), name))
+        unstage(docs)
+        docs = result
     return STAGES[-1][1](spark, docs, sf_dir)
