@@ -18,8 +18,10 @@ from tessera.llm.simhash import SEED, links, majority, shingle_hashes
 BANDS, ROWS = 32, 6
 _RNG = np.random.default_rng(SEED)
 TIMES, PLUS, MIX = (_RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
-#: Rounds that compare with one member of each bucket, before all pairs that are still open are compared.
-ROUNDS = 3
+#: Buckets with more open pairs a member than this are large: their members are first compared with one of them, another in each round.
+OPEN_PAIRS = 8
+#: Such rounds at most, before all pairs that are still open are compared.
+ROUNDS = 6
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -112,9 +114,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are near when their sets of word shingles have a Jaccard similarity of 0.8 or more; components
     are those of all near pairs. Candidates have SimHashes within 3 bits or share a band of minima, and are checked
-    exactly. Texts with equal sets are one vertex. In a bucket of many, members are first compared with one of them,
-    another in each round, and only pairs that are not yet in one component are compared in the end, save those
-    that differ too much by with_differences(). So a large group makes no square.
+    exactly. Texts with equal sets are one vertex. In a large bucket members are first compared with one of them,
+    another in each round, and only pairs that are not yet in one component are compared in the end, each once, save those
+    that differ too much by with_differences(). So a large group of near texts makes no square; of texts just below the
+    limit the exact comparisons are few, but the bounds of all their pairs are looked at.
     kept: exactly one row of each component, that with component_id; of rows that repeat this id the one with the
     smallest text_key, and of those that repeat the text as well any one.
     Null text counts as empty; texts without a word are one vertex. Null ids stay null and don't count as
@@ -136,23 +139,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = stage(shingle_sets(texts, shingle).dropDuplicates(["v"]), "sets")
 
         tried, near = close, stage(similar(close, sets), "near")
-        roots = connected_components(near)
+        roots, before = connected_components(near), None
         for turn in range(ROUNDS + 1):
             placed = members.join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
-            pick = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("by"), "v", "n", "c")).alias("other")
-            buckets = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size"), pick)
-            unsettled = stage(placed.join(buckets.where("least <> most").select("key", "size", "other"), "key"), "unsettled")
-            count, square = unsettled.agg(F.count(F.lit(1)), F.sum("size")).first()
+            pick = F.min(F.struct(F.xxhash64("v", "key", F.lit(turn)).alias("by"), "v", "n", "c")).alias("other")
+            parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("part"), pick)
+            size = F.sum("part")
+            buckets = parts.groupBy("key").agg(((size * size - F.sum(F.col("part") * F.col("part"))) / (2 * size)).alias("open"), F.min("other").alias("other")).where("open > 0")
+            unsettled = stage(placed.join(buckets, "key").withColumn("large", F.col("open") > OPEN_PAIRS), "unsettled")
+            count, open_pairs = unsettled.agg(F.count(F.lit(1)), F.sum(F.when(F.col("large"), F.col("open")))).first()
             if not count:
                 break
-            last = turn == ROUNDS or square <= 32 * count
+            # A round that settles less than a quarter of the open pairs of large buckets is the last of its kind.
+            last = turn == ROUNDS or not open_pairs or (before is not None and 4 * open_pairs > 3 * before)
+            before = open_pairs
             if last:
                 one = with_differences(unsettled.select("key", "v", "n", "c", F.col("other.v").alias("pivot")), sets)
-                pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own", "lost"))), "key").where("v < other_v and c <> other_c")
+                one = one.join(members.groupBy("v").agg(F.collect_list("key").alias("keys")), "v")
+                pairs = one.join(one.select("key", *(F.col(x).alias(f"other_{x}") for x in ("v", "n", "c", "own", "lost", "keys"))), "key").where("v < other_v and c <> other_c")
                 lacking = " + ".join(f"bit_count(lost[{i}] ^ other_lost[{i}])" for i in range(4))
                 pairs = pairs.where(f"9 * (own + other_own + {lacking}) <= n + other_n")  # else the similarity is below 0.8
+                pairs = pairs.where("key = array_min(array_intersect(keys, other_keys))")  # each pair once: open pairs are so in all buckets they share
             else:
-                pairs = unsettled.select("v", "n", "c", *(F.col(f"other.{x}").alias(f"other_{x}") for x in "vnc")).where("c <> other_c")
+                pairs = unsettled.where("large").select("v", "n", "c", *(F.col(f"other.{x}").alias(f"other_{x}") for x in "vnc")).where("c <> other_c")
             pairs = pairs.where("5 * least(n, other_n) >= 4 * greatest(n, other_n)")
             pairs = pairs.select(F.least("v", "other_v").alias("a"), F.greatest("v", "other_v").alias("b")).distinct()
             pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
