@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,9 @@ def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: s
     """
     spark = docs.sparkSession
     known = full_texts() if known is None else known
-    table = spark.createDataFrame(sorted(known.items()) or [], "license_id string, text string")
+    # As Arrow data they become a local table of the plan; a list of rows would start Python workers on the executors.
+    columns = [pa.array([x[i] for x in sorted(known.items())], pa.string()) for i in (0, 1)]
+    table = spark.createDataFrame(pa.table(columns, names=["license_id", "text"]))
 
     def names(form: Column, digest: str, name: str) -> DataFrame:
         rows = table.select("license_id", form.alias("c")).where("c <> ''").select(F.sha2("c", 256).alias(digest), "license_id")

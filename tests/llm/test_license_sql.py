@@ -1,6 +1,7 @@
 """Licence scans with hits: the query and its SQL on whole licences, their variants, and texts that are none."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tessera.llm import licenses
 
@@ -27,3 +28,12 @@ def test_clauses_are_not_copyright_lines(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string")
     got = {r.doc_id: r.digest for r in licenses.license_scan(df, {}).collect()}
     assert len({got[1], got[2], got[5]}) == 3 and got[3] == got[4] == got[5]
+
+
+def test_known_texts_need_no_python_workers(spark):
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.lit(licenses.MIT).alias("text"))
+    for known, found in ((None, "MIT"), ({"mine": licenses.MIT}, "mine"), ({}, None)):
+        out = licenses.license_scan(docs, known)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "Python" not in plan
+        assert [r.license_id for r in out.collect()] == [found, found]
