@@ -104,7 +104,7 @@ class PieceModel:
         return models.Unigram(rows, self.unknown, False)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of normalised texts, encoded as a batch by the library's threads."""
+        """Ids of normalised texts, encoded as a batch."""
         if self.kind != UNIGRAM or not self.byte_fallback:
             return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
@@ -143,15 +143,17 @@ class PieceEncoder:
     """Encodes and decodes texts; chunks that can't merge with one another are encoded once and kept.
 
     The cache is emptied at `most` chunks. Where chunks can merge, texts are encoded whole and nothing is kept.
-    A batch is encoded by `threads` threads; every core of an executor has such a process, so more would only wait.
+    The library's threads stay off: every core of an executor has such a process, and they cost CPU time while they wait.
     """
 
     CHUNK = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+    #: So many new chunks of a BPE model are encoded as one text.
+    JOINED = 64
 
-    def __init__(self, path: str, most: int = 800_000, threads: int = 2):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+    def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.most, self.cache = PieceModel(path), most, {}
+        self.line = self.model.byte_ids.get(ord("\n")) if self.model.apart and self.model.kind != UNIGRAM else None
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.values = np.array(self.model.bytes, object)
         self.numbers = [i.to_bytes(4, "little") for i in range(len(self.model.pieces))]
@@ -171,6 +173,24 @@ class PieceEncoder:
                 out += words if words[0] else words[1:]
         return out
 
+    def new_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, as chunks() cuts them: none is empty or has a line end among other letters.
+
+        A text for each chunk costs more than its merges, so a BPE model gets many in one, and their ids are parted at those
+        of the line ends in between, which nothing merges with. Scores of a unigram model would add up to other roundings.
+        """
+        if self.line is None:
+            return [b"".join([self.numbers[i] for i in ids]) for ids in self.model.ids(chunks)]
+        plain = [x for x in chunks if x != "\n"]
+        out = []
+        for ids in self.model.ids(["\n".join(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]):
+            ids = np.array(ids, "<u4")
+            ends, whole = (np.flatnonzero(ids == self.line) * 4).tolist(), ids.tobytes()
+            out += [whole[a:z] for a, z in zip([0, *[x + 4 for x in ends]], [*ends, len(whole)], strict=True)]
+        if len(plain) < len(chunks):
+            out.insert(chunks.index("\n"), self.numbers[self.line])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         return self.encode_forms([self.model.normalised(x) for x in texts])
@@ -178,14 +198,13 @@ class PieceEncoder:
     def encode_forms(self, forms: list[str]) -> list[bytes]:
         """The same for texts that are normalised already."""
         parts = [self.chunks(x) for x in forms]
-        cache, numbers = self.cache, self.numbers
+        cache = self.cache
         if len(cache) > self.most or not self.model.apart:
             cache.clear()
         new = list(set(chain.from_iterable(parts)).difference(cache))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for word, ids in zip(some, self.model.ids(some), strict=True):
-                cache[word] = b"".join([numbers[i] for i in ids])
+            cache.update(zip(some, self.new_ids(some), strict=True))
         return [b"".join(map(cache.__getitem__, x)) for x in parts]
 
     def decode(self, ids: bytes) -> bytes:
